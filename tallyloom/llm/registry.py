@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import quality
+from . import langid, licenses, quality
 
 QUERIES = {
+    "op1_license_scan": licenses.op1_license_scan,
+    "op4_language_id": langid.op4_language_id,
     "op10_quality_hosts": quality.op10_quality_hosts,
 }
 ORACLES = {
+    "op1_license_scan": licenses.ORACLE,
     "op10_quality_hosts": quality.ORACLE,
 }
