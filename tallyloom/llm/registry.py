@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, quality
+from . import langid, licenses, packing, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_language_id": langid.op4_language_id,
+    "op7_pack": packing.op7_pack,
     "op10_quality_hosts": quality.op10_quality_hosts,
 }
 ORACLES = {
