@@ -23,15 +23,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import materialise
-from .tokens import word_ids
+from .tokens import piece_ids
 
 SEQUENCE = 2048
 GRAIN = 8
 END_ID = 1
 #: The linear program is solved to this relative gap.
 GAP = 1e-3
-#: Texts are encoded in groups of so many characters.
-GROUP_CHARS = 1 << 20
 
 
 def knapsack(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -165,35 +163,26 @@ def cut_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part = word_ids(tokenizer, end_id), TaskContext.get().partitionId()
+        coder, part = piece_ids(tokenizer, end_id), TaskContext.get().partitionId()
         seen = np.zeros(sequence // grain + 2, np.int64)
         for batch in batches:
-            texts, i = batch.column(1).to_pylist(), 0
-            while i < len(texts):
-                j, chars = i, 0
-                while j < len(texts) and (j == i or chars + len(texts[j] or "") <= GROUP_CHARS):
-                    chars += len(texts[j] or "")
-                    j += 1
-                ids, bounds = words.encode(texts[i:j])
+            for rows, ids, bounds in coder.encode(batch.column(1)):
                 tokens = np.diff(bounds)
                 pieces = (tokens + sequence - 1) // sequence
-                doc = np.repeat(np.arange(j - i), pieces)
-                nth = np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-                start = nth * sequence
+                doc = np.repeat(np.arange(len(rows)), pieces)
+                start = (np.arange(len(doc)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * sequence
                 length = np.minimum(sequence, tokens[doc] - start)
                 at = bounds[doc] + start
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 size = (length + grain - 1) // grain
                 order = np.argsort(size, kind="stable")
-                first = np.searchsorted(size[order], size[order])
                 local = np.empty(len(size), np.int64)
-                local[order] = np.arange(len(size)) - first + seen[size[order]]
+                local[order] = np.arange(len(size)) - np.searchsorted(size[order], size[order]) + seen[size[order]]
                 seen += np.bincount(size, minlength=len(seen))
-                out = [batch.column(0).take(pa.array(doc + i)), *map(pa.array, (start, length, np.array(crc, np.int64), tokens[doc], np.full(len(doc), part), size, local))]
+                out = [batch.column(0).take(pa.array(doc + rows.start)), *map(pa.array, (start, length, np.array(crc, np.int64), tokens[doc], np.full(len(doc), part), size, local))]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
-                i = j
 
     return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, schema)
 
