@@ -117,9 +117,9 @@ def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[n
             x = np.sort(rolled[a : b - k + 1])
             out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
         elif b > a:
-            x = np.uint64(b - a)
-            for h in hashes[a:b]:
-                x = x * multiplier + h
+            x = b - a
+            for h in hashes[a:b].tolist():
+                x = (x * int(multiplier) + h) % 2**64
             out.append(mix(np.array([x], np.uint64)))
         else:
             out.append(np.zeros(0, np.uint64))

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import langid, licenses, packing, quality
+from . import jaccard, langid, licenses, packing, quality
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op4_language_id": langid.op4_language_id,
     "op7_pack": packing.op7_pack,
+    "op9_ngram_jaccard": jaccard.op9_ngram_jaccard,
     "op10_quality_hosts": quality.op10_quality_hosts,
 }
 ORACLES = {
