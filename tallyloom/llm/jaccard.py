@@ -4,12 +4,15 @@ A document is the set of its distinct word shingles.  Shingles have one global o
 hash; then the recurring ones by estimated frequency, rarest first.  If two sets r and s reach the threshold t, they
 share at least ceil(t * |r|) shingles of r, so for any l the first |r| - ceil(t * |r|) + l shingles of both share l or
 more.  Each document takes the l of least estimated cost: a longer prefix costs more postings, but candidates must then
-share more of it.  A pair is a candidate if its prefixes share min(l_r, l_s) shingles, and is verified on whole sets.
+share more of it: what the prefixes do not share can only lie behind one of them, so a pair is a candidate if the shared
+part of its prefixes and the longer of its rests add up to the overlap that the threshold asks of sets of these sizes
+(at least min(l_r, l_s) shared shingles, and far more for sets of like size).  Candidates are verified on whole sets.
 
 Links need not be listed pair by pair, so no group is expanded into its pairs:
 
 1. equal sets are linked through one representative per task and set;
-2. within each posting list every document is first compared with the list's smallest one only;
+2. within each posting list every document is first compared with the list's smallest one only, and verified if they
+   share enough in this way;
 3. what those links connect is one component; only documents of different components that meet in a list go through
    the multi-match count and are verified, so no link between different texts is lost;
 4. connected components of all verified links.
@@ -37,7 +40,7 @@ PERCENT = 75
 #: The most recurring shingles that are ordered by frequency: at most so many are broadcast, 12 bytes each.
 MAX_FREQUENT = 1 << 20
 #: A task's shingle counts are cut to the recurring ones when so many have gathered.
-FLUSH = 1 << 22
+FLUSH = 1 << 21
 #: Rows of a posting list that one task takes.
 LIST_ROWS = 1 << 14
 MATCHES = np.array([1, 2, 3, 4, 6, 8, 12, 16, 24])
@@ -158,7 +161,7 @@ def prefix(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int = P
 
 
 def postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """Stored (h, salt, doc_id, n, l, pivot, pivot_n) of the prefix shingles that two or more sets have."""
+    """Stored (h, salt, doc_id, n, l, and the list's first pivot, pivot_n, pivot_l) of the prefix shingles that two or more sets have."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
     rows = ["h", "salt", "doc_id", "n", "l"]
@@ -198,28 +201,36 @@ def postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], k: int, perc
             new[0] = not goes_on
             start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
             pivot = np.where(start >= 0, doc[start], last[1] if goes_on else 0)
-            pivot_n = np.where(start >= 0, n[start], last[2] if goes_on else 0)
+            pivot_n, pivot_l = (np.where(start >= 0, x[start], last[j] if goes_on else 0) for j, x in ((2, n), (3, m)))
             alone = new & np.append(new[1:], True) & (salt == 0)
             undecided = alone[-1]
-            out = [h, salt, doc, n, m, pivot, pivot_n]
+            out = [h, salt, doc, n, m, pivot, pivot_n, pivot_l]
             keep = ~alone
             out = [x[keep] for x in out]
             if pending is not None and goes_on:
                 out = [np.concatenate([[p], x]).astype(x.dtype) for p, x in zip(pending, out, strict=True)]
-            pending = (h[-1], salt[-1], doc[-1], n[-1], m[-1], doc[-1], n[-1]) if undecided else None
-            last = ((h[-1], salt[-1]), pivot[-1], pivot_n[-1])
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32()]
-            yield _batch([*rows, "pivot", "pivot_n"], *[(x.astype(t.to_pandas_dtype()), t) for x, t in zip(out, types, strict=True)])
+            pending = (h[-1], salt[-1], doc[-1], n[-1], m[-1], doc[-1], n[-1], m[-1]) if undecided else None
+            last = ((h[-1], salt[-1]), pivot[-1], pivot_n[-1], pivot_l[-1])
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+            yield _batch([*rows, "pivot", "pivot_n", "pivot_l"], *[(x.astype(t.to_pandas_dtype()), t) for x, t in zip(out, types, strict=True)])
 
     sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int")
     sorted_ = sent.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id")
-    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int"), "postings")
+    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int"), "postings")
 
 
 def _near(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
 
 
+def candidates(met: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (a, b, na, nb, la, lb), one for each shared prefix shingle, that may reach the threshold."""
+    counted = met.groupBy("a", "b").agg(F.count("*").alias("met"), *[F.min(c).alias(c) for c in ("na", "nb", "la", "lb")])
+    rest = F.expr(f"greatest(({percent} * na + 99) div 100 - la, ({percent} * nb + 99) div 100 - lb)")
+    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    return counted.filter((F.col("met") >= F.least("la", "lb")) & (F.col("met") + rest >= overlap)).select("a", "b")
+
+
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Stored (doc_id, s) for the documents in ``wanted`` (and a few more, where bits of the map coincide)."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
@@ -245,8 +256,9 @@ def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return materialise(rows.mapInArrow(run, "doc_id long, s array<long>"), "whole")
 
 
-def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold."""
+def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets reach the threshold; only documents of pairs get whole sets."""
+    sets = whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k)
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
     return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
@@ -269,13 +281,13 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     equal = equal.union(reps.join(reps.groupBy("key").agg(F.min("rep").alias("least")), "key").filter("rep <> least").select("rep", "least"))
 
     lists = postings(docs, frequent_shingles(summary), shingle, percent)
-    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n").distinct()
-    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n")).alias("top"))
-    across = heads.join(head, "h").select(F.col("top.pivot").alias("a"), F.col("pivot").alias("b"), F.col("top.pivot_n").alias("na"), F.col("pivot_n").alias("nb"))
-    first = lists.select(F.col("pivot").alias("a"), F.col("doc_id").alias("b"), F.col("pivot_n").alias("na"), F.col("n").alias("nb"))
-    stars = first.union(across).filter("a <> b").filter(_near("na", "nb", percent)).select("a", "b").distinct()
-    sets = whole_sets(docs, lists.select("doc_id").distinct(), shingle)
-    links = materialise(equal.union(verify(stars, sets, percent)), "links")
+    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n", "pivot_l").distinct()
+    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n", "pivot_l")).alias("top"))
+    ends = ["a", "b", "na", "nb", "la", "lb"]
+    across = heads.join(head, "h").select(*[F.col(c).alias(x) for c, x in zip(["top.pivot", "pivot", "top.pivot_n", "pivot_n", "top.pivot_l", "pivot_l"], ends, strict=True)])
+    first = lists.select(*[F.col(c).alias(x) for c, x in zip(["pivot", "doc_id", "pivot_n", "n", "pivot_l", "l"], ends, strict=True)])
+    stars = materialise(candidates(first.union(across).filter("a <> b").filter(_near("na", "nb", percent)), percent), "stars")
+    links = materialise(equal.union(verify(docs, stars, shingle, percent)), "links")
     known = connected_components(links)
 
     # documents of different components that meet in a list
@@ -283,9 +295,8 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     mixed = placed.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("h")
     placed = materialise(placed.join(mixed, "h", "left_semi"), "mixed")
     a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c")]) for x in "ab")
-    met = a.join(b, "h").filter("ca < cb").filter(_near("na", "nb", percent))
-    counted = met.groupBy(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("la", "lb")).alias("l"))
-    more = materialise(verify(counted.filter("met >= l").select("a", "b"), sets, percent), "links")
+    met = a.join(b, "h").filter("ca < cb").filter(_near("na", "nb", percent)).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"), "na", "nb", "la", "lb")
+    more = materialise(verify(docs, materialise(candidates(met, percent), "pairs"), shingle, percent), "links")
     if not more.isEmpty():
         known = connected_components(known.union(more))
     found = rows.select("doc_id", F.col("n").alias("n_shingles")).join(known, F.col("doc_id") == F.col("node"), "left")
