@@ -44,3 +44,8 @@ def worker_cache() -> dict:
     """A dictionary that lives as long as the Python worker, also when functions arrive pickled by value."""
     module = sys.modules.setdefault("_tallyloom_worker", types.ModuleType("_tallyloom_worker"))
     return module.__dict__.setdefault("cache", {})
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by size rather than by rows, so that a Python worker's memory does not follow the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
