@@ -12,7 +12,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+from .scratch import worker_cache
+
+CHUNK = 1 << 19
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd-free 64-bit value for each byte, and an odd base with its inverse modulo 2**64.
 BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64)
@@ -39,8 +41,14 @@ def powers(n: int, base: np.uint64) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-_POWERS = powers(2 * CHUNK + 1, BASE)
-_INVERSES = powers(2 * CHUNK + 1, BASE_INVERSE)
+def kept_powers(n: int, base: np.uint64) -> np.ndarray:
+    """At least n powers; those of a usual chunk stay in the worker (not in a global, which would travel with tasks)."""
+    if n > CHUNK + 1:
+        return powers(n, base)
+    cache = worker_cache()
+    if ("powers", int(base)) not in cache:
+        cache["powers", int(base)] = powers(CHUNK + 1, base)
+    return cache["powers", int(base)]
 
 
 class Chunk:
@@ -56,13 +64,12 @@ class Chunk:
     def prefix_hash(self) -> np.ndarray:
         n = len(self.data)
         out = np.zeros(n + 1, np.uint64)
-        np.cumsum(BYTE_KEY[self.data] * (_POWERS[:n] if n < len(_POWERS) else powers(n, BASE)), out=out[1:])
+        np.cumsum(BYTE_KEY[self.data] * kept_powers(n, BASE)[:n], out=out[1:])
         return out
 
     def span_hash(self, prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A hash of each byte span that depends on its bytes only."""
-        inverse = _INVERSES if len(prefix) <= len(_INVERSES) else powers(len(prefix), BASE_INVERSE)
-        return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+        return mix((prefix[ends] - prefix[starts]) * kept_powers(len(prefix), BASE_INVERSE)[starts] + (ends - starts).astype(np.uint64))
 
     def per_doc(self, values: np.ndarray) -> np.ndarray:
         """Sums over each document's bytes."""
