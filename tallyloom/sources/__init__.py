@@ -1,0 +1 @@
+"""Sources: tables by name, spreadsheets, folders of files and caches."""
