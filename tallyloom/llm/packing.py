@@ -18,7 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -153,18 +153,19 @@ def plan_layout(histogram: dict[int, int], capacity: int) -> Layout:
     return Layout({s: tuple(np.array(x, np.int64) for x in zip(*r, strict=True)) for s, r in runs.items()}, sequence, len(patterns))
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def cut_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = False, order: Column | None = None) -> DataFrame:
     """Tokenise whole texts and cut them: full sequences first, then one remainder.
 
-    ``part`` and ``local`` are the task and the piece's rank in its length class there: only fit to be used once stored.
+    ``part`` is the row's ``order`` (a string) or its task, and ``local`` the piece's rank in its length class there:
+    only fit to be used once stored.
     """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "part", "size", "local")])
+    schema = T.StructType([T.StructField("doc_id", docs.schema[doc_id].dataType)] + [T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "size", "local")] + [T.StructField("part", T.StringType())])
     if with_ids:
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, part = piece_ids(tokenizer, end_id), TaskContext.get().partitionId()
-        seen = np.zeros(sequence // grain + 2, np.int64)
+        coder, task = piece_ids(tokenizer, end_id), f"{TaskContext.get().partitionId():010d}"
+        seen: dict[str, np.ndarray] = {}
         for batch in batches:
             for rows, ids, bounds in coder.encode(batch.column(1)):
                 tokens = np.diff(bounds)
@@ -175,28 +176,35 @@ def cut_pieces(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str
                 at = bounds[doc] + start
                 crc = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
                 size = (length + grain - 1) // grain
-                order = np.argsort(size, kind="stable")
+                part = np.array([task if p is None else p for p in batch.column(2).slice(rows.start, len(rows)).to_pylist()], object)[doc]
                 local = np.empty(len(size), np.int64)
-                local[order] = np.arange(len(size)) - np.searchsorted(size[order], size[order]) + seen[size[order]]
-                seen += np.bincount(size, minlength=len(seen))
-                out = [batch.column(0).take(pa.array(doc + rows.start)), *map(pa.array, (start, length, np.array(crc, np.int64), tokens[doc], np.full(len(doc), part), size, local))]
+                for name in dict.fromkeys(part.tolist()):
+                    here = np.flatnonzero(part == name)
+                    sizes = size[here]
+                    counts = seen.setdefault(name, np.zeros(sequence // grain + 2, np.int64))
+                    by_size = np.argsort(sizes, kind="stable")
+                    sizes = sizes[by_size]
+                    local[here[by_size]] = np.arange(len(here)) - np.searchsorted(sizes, sizes) + counts[sizes]
+                    counts += np.bincount(sizes, minlength=len(counts))
+                out = [batch.column(0).take(pa.array(doc + rows.start)), *map(pa.array, (start, length, np.array(crc, np.int64), tokens[doc], size, local)), pa.array(part, pa.string())]
                 if with_ids:
                     out.append(pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(length)), pa.int32()), pa.array(ids.astype(np.int32))))
                 yield pa.RecordBatch.from_arrays(out, names=schema.names)
 
-    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("_text"), (F.lit(None) if order is None else order).cast("string").alias("_part")).mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "doc_id", sequence: int = SEQUENCE, grain: int = GRAIN, end_id: int = END_ID, with_ids: bool = False, order: Column | None = None) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
     Every document gets its end token, so a null or empty text is one token.  Each token lies in exactly one piece and
     no sequence is over ``sequence`` tokens.  Rows that repeat, also without an id, are packed row by row.  An empty
-    table gives no rows.  ``sequence`` must be a multiple of ``grain``.
+    table gives no rows.  ``sequence`` must be a multiple of ``grain``.  ``order``, a string per row, ranks documents of
+    a length class: those of a smaller one come first, equal ones as they are read; without it tasks take its place.
     """
     if sequence % grain:
         raise ValueError("sequence must be a multiple of grain")
-    pieces = materialise(cut_pieces(docs, tokenizer, text, doc_id, sequence, grain, end_id, with_ids), "pieces")
+    pieces = materialise(cut_pieces(docs, tokenizer, text, doc_id, sequence, grain, end_id, with_ids, order), "pieces")
     counts = pieces.groupBy("part", "size").agg(F.count("*").alias("n"))
     histogram = {r["size"]: r["n"] for r in counts.groupBy("size").agg(F.sum("n").alias("n")).collect()}
     layout = plan_layout(histogram, sequence // grain)
