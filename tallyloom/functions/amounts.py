@@ -20,8 +20,7 @@ def _try(kind: str, c: Column) -> Column:
 
 def _prefix_number(c: Column) -> Column:
     """The number a text starts with, whatever follows; null if none."""
-    found = F.regexp_extract(c, r"^[+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?", 0)
-    return F.when(found != "", _try("double", F.regexp_replace(found, r"\.$", "")))
+    return _try("double", F.regexp_extract(c, r"^([+-]?(?:\d+(?:\.\d+)?|\.\d+)(?:[eE][+-]?\d+)?)", 1))
 
 
 def parse_amount(c: Column) -> Column:
@@ -30,17 +29,10 @@ def parse_amount(c: Column) -> Column:
     Currency signs, spaces and apostrophes go; (x) is negative; what follows the number is ignored; null if unreadable.
     """
     s = F.regexp_replace(text_of(c), f"[€{SPACE}'’]", "")
-    negative = s.rlike(r"^\(.*\)$")
-    s = F.when(negative, F.regexp_replace(s, r"^\(|\)$", "")).otherwise(s)
-    comma, dot = F.instr(F.reverse(s), ","), F.instr(F.reverse(s), ".")
-    plain = (
-        F.when((comma > 0) & (dot > 0) & (comma < dot), F.regexp_replace(F.replace(s, F.lit("."), F.lit("")), "^([^,]*),", "$1."))
-        .when((comma > 0) & (dot > 0), F.replace(s, F.lit(","), F.lit("")))
-        .when(comma > 0, F.regexp_replace(s, "^([^,]*),", "$1."))
-        .otherwise(s)
-    )
-    n = _prefix_number(plain)
-    return F.when(negative, -n).otherwise(n)
+    s = F.regexp_replace(s, r"^\((.*)\)$", "-$1")
+    # one pass each, and no branches: dots before a comma and commas before a dot only separate thousands
+    s = F.regexp_replace(F.regexp_replace(s, r"\.(?=.*,)", ""), r",(?=.*\.)", "")
+    return _prefix_number(F.regexp_replace(s, "^([^,]*),", "$1."))
 
 
 def to_money(c: Column) -> Column:

@@ -1,6 +1,8 @@
-"""Named queries over the driver's tables, each with the SQL that checks it."""
+"""Named queries over the driver's tables, each with the SQL that checks it where SQL can express it."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import compare, money, texts
+
+QUERIES = money.QUERIES | compare.QUERIES | texts.QUERIES
+ORACLES = money.ORACLES | compare.ORACLES | texts.ORACLES
