@@ -158,27 +158,28 @@ def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_I
     return best.groupBy("q_image", "d_image").agg(F.max(F.struct("inliers", (-F.abs("step")).alias("near"), "turn", "step")).alias("m")).select(F.col("q_image").alias("query"), F.col("d_image").alias("image"), F.col("m.inliers").alias("inliers"), F.col("m.turn").alias("turn"), F.col("m.step").alias("level_step"))
 
 
-CELL = 12
+CELL = 2
 
 
-def mosaics(vectors: DataFrame, image: str = "vec_id", values: str = "embedding") -> DataFrame:
-    """Images from numeric vectors: a square mosaic of grey cells, brightness by the vector's own range."""
+def recurrence_images(vectors: DataFrame, image: str = "vec_id", values: str = "embedding") -> DataFrame:
+    """Images from numeric vectors: recurrence plots, each pair of values a square whose brightness is their distance.
+
+    Null, empty and non-finite vectors have null pixels.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             pixels, sides = [], []
             for v in batch.column(1).to_pylist():
-                v = np.array([x if x is not None else 0.0 for x in v or []], float)
-                side = math.isqrt(len(v))
-                if not side or not np.isfinite(v).all():
+                v = np.array([x if x is not None else np.nan for x in v or []], float)
+                if not len(v) or not np.isfinite(v).all():
                     pixels.append(None)
                     sides.append(None)
                     continue
-                v = v[: side * side].reshape(side, side)
-                low, high = v.min(), v.max()
-                grey = np.round((v - low) / (high - low or 1) * 255).astype(np.uint8)
+                apart = np.abs(v[:, None] - v[None, :])
+                grey = np.round(apart / (apart.max() or 1) * 255).astype(np.uint8)
                 pixels.append(np.kron(grey, np.ones((CELL, CELL), np.uint8)).tobytes())
-                sides.append(side * CELL)
+                sides.append(len(v) * CELL)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sides, pa.int32()), pa.array(sides, pa.int32()), pa.array(pixels, pa.binary())], names=["image", "height", "width", "pixels"])
 
     kind = vectors.schema[image].dataType.simpleString()
@@ -206,5 +207,5 @@ def edited(images: DataFrame, crop: int = 14, gain: float = 0.8, lift: float = 2
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: edited copies of the images whose id is divisible by 50; index: every row's image."""
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    images = mosaics(vectors)
-    return image_copies(edited(mosaics(vectors.filter("vec_id % 50 = 0"))), images)
+    images = recurrence_images(vectors)
+    return image_copies(edited(recurrence_images(vectors.filter("vec_id % 50 = 0"))), images)
