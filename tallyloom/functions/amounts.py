@@ -84,9 +84,9 @@ def parse_pure(c: Column) -> Column:
 
 
 def loose_amount(c: Column) -> Column:
-    """The first run of digits, dots and commas as an amount."""
-    run = F.regexp_extract(text_of(c), r"[0-9][0-9.]*(?:,[0-9]+)?", 0)
-    return F.when(run != "", parse_grouped(F.regexp_replace(run, r"\.+$", "")))
+    """The first run of digits with dots and spaces between, and a decimal comma, as an amount."""
+    run = F.regexp_extract(text_of(c), f"([0-9][0-9.{SPACE}]*(?:,[0-9]+)?)", 1)
+    return _try("double", F.replace(F.regexp_replace(run, f"[.{SPACE}]", ""), F.lit(","), F.lit(".")))
 
 
 def amounts_in(c: Column) -> Column:

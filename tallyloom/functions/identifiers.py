@@ -81,7 +81,16 @@ def is_garbage(c: Column) -> Column:
 
 
 def has_digit_run(text: Column, digits: Column) -> Column:
-    """True if a whole block of digits in the text equals ``digits``, dots, spaces and look-alike letters allowed inside."""
-    blocks = F.regexp_extract_all(text_of(text), F.lit(r"([0-9OoIlSsB]+(?:[. ][0-9OoIlSsB]{3})*)(?:,[0-9]{1,2})?"), 1)
-    clean = F.transform(blocks, lambda b: F.translate(F.regexp_replace(b, "[. ]", ""), "OoIlSsB", "0011558"))
-    return F.coalesce((digits != "") & F.array_contains(clean, digits), F.lit(False))
+    """True if a whole block of digits in the text equals ``digits`` (four or more).
+
+    A block may hold dots, commas and letters that OCR takes for digits, which do not count; ``00`` or, after a comma,
+    one or two decimals may follow the digits.
+    """
+    blocks = F.regexp_extract_all(text_of(text), F.lit("([0-9oOiIlLsS.,]+)"), 1)
+
+    def hit(block: Column) -> Column:
+        clean = F.regexp_replace(block, "[^0-9]", "")
+        rest = F.substr(clean, F.length(digits) + 1)
+        return clean.startswith(digits) & (rest.isin("", "00") | (F.contains(block, F.lit(",")) & (F.length(rest) <= 2)))
+
+    return F.coalesce((F.length(digits) >= 4) & F.exists(blocks, hit), F.lit(False))
