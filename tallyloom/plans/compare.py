@@ -32,21 +32,18 @@ def only_right(spark, d):
     return matching.only_right(*sides(spark, d), KEYS).select("row_id")
 
 
-def _named(spark, d):
-    s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), "s_name", F.col("s_nationkey").cast("string").alias("nation"))
-    n = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), "p_name")
-    return s, n
+def _codes(spark, d):
+    code = lambda c, by: F.concat(F.lit("id-"), (F.col(c) * by % 1_000_003).cast("string"))
+    a = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), code("c_custkey", 7919).alias("code"))
+    return a, table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), code("s_suppkey", 104_729).alias("code"))
 
 
 def ngram_candidates(spark, d):
-    p = table(spark, d, "part").select(F.col("p_partkey").alias("row_id"), "p_name", "p_brand")
-    return matching.gram_candidates(p, table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), F.col("s_name").alias("p_name")), ["p_name"], ["p_name"], 6, ["SUPPLIER"])
+    return matching.gram_candidates(*_codes(spark, d), ["code"], ["code"], 4, ["ID"])
 
 
 def ngram_greedy_pairs(spark, d):
-    a = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), (F.col("c_custkey") * 7).cast("string").alias("code"))
-    b = table(spark, d, "supplier").select(F.col("s_suppkey").alias("row_id"), (F.col("s_suppkey") * 91 + 1000).cast("string").alias("code"))
-    return matching.fuzzy_pairs(a, b, ["code"], ["code"], 4)
+    return matching.fuzzy_pairs(*_codes(spark, d), ["code"], ["code"], 4, ["ID"])
 
 
 def broad_greedy_pairs(spark, d):
@@ -80,7 +77,7 @@ def set_equality_orders(spark, d):
 
 def range_match_amounts(spark, d):
     o = table(spark, d, "orders")
-    a = o.filter("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("value"))
+    a = o.select(F.col("o_orderkey").alias("row_id"), F.col("o_totalprice").alias("value"))
     b = table(spark, d, "customer").select(F.col("c_custkey").alias("row_id"), (F.col("c_acctbal") * 20).alias("value"))
     return matching.range_match(a, b, tolerance=0.001)
 
@@ -130,7 +127,7 @@ def round_robin(spark, d):
 
 
 def pivot_fields(spark, d):
-    e = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.min("event_id"))
+    e = table(spark, d, "events").groupBy("user_id").pivot("event_type", ["click", "view", "purchase", "signup", "error"]).agg(F.min("event_id"))
     return e
 
 
@@ -152,12 +149,11 @@ b AS (SELECT c_custkey AS row_id, CASE WHEN c_custkey % 3 > 0 THEN (c_custkey *
 h AS (SELECT a.row_id AS a_row, 0 AS key, k0 AS v FROM a WHERE k0 <> '' AND k0 IN (SELECT k0 FROM b) UNION ALL SELECT a.row_id, 1, k1 FROM a WHERE k1 IN (SELECT k1 FROM b) AND NOT (k0 <> '' AND k0 IN (SELECT k0 FROM b))),
 m AS (SELECT a_row, b.row_id AS b_row, key FROM h JOIN b ON (key = 0 AND b.k0 = v) OR (key = 1 AND b.k1 = v))
 """.replace("\\\\1", "\\1")
-_GRAMS = """WITH pa AS (SELECT p_partkey AS a_row, regexp_replace(upper(p_name), '[^A-Z0-9]', '', 'g') AS s FROM part),
-sb AS (SELECT s_suppkey AS b_row, replace(regexp_replace(upper(s_name), '[^A-Z0-9]', '', 'g'), 'SUPPLIER', '') AS s FROM supplier),
-ga AS (SELECT a_row, g, min(i) AS i FROM (SELECT a_row, unnest(range(1, greatest(len(s) - 4, 1))) AS i, replace(s, 'SUPPLIER', '') AS s, substr(replace(s, 'SUPPLIER', ''), unnest(range(1, greatest(len(s) - 4, 1))), 6) AS g FROM pa) WHERE len(g) = 6 GROUP BY 1, 2),
+_GRAMS = """WITH a AS (SELECT c_custkey AS a_row, (c_custkey * 7919 % 1000003)::VARCHAR AS s FROM customer), b AS (SELECT s_suppkey AS b_row, (s_suppkey * 104729 % 1000003)::VARCHAR AS s FROM supplier),
+ga AS (SELECT a_row, g, min(i) AS i FROM (SELECT a_row, unnest(range(1, greatest(len(s) - 2, 1))) AS i, substr(s, unnest(range(1, greatest(len(s) - 2, 1))), 4) AS g FROM a) GROUP BY 1, 2),
 gp AS (SELECT a_row, g, row_number() OVER (PARTITION BY a_row ORDER BY i) - 1 AS place FROM ga),
-gb AS (SELECT DISTINCT b_row, substr(s, unnest(range(1, greatest(len(s) - 4, 1))), 6) AS g FROM sb)
-SELECT a_row, b_row, min(place)::INT AS place FROM gp JOIN gb USING (g) WHERE len(g) = 6 GROUP BY 1, 2"""
+gb AS (SELECT DISTINCT b_row, substr(s, unnest(range(1, greatest(len(s) - 2, 1))), 4) AS g FROM b)
+SELECT a_row, b_row, min(place)::INT AS place FROM gp JOIN gb USING (g) GROUP BY 1, 2"""
 _THETA = """WITH a AS (SELECT s_suppkey AS row_id, CASE WHEN s_nationkey::VARCHAR = '0' THEN '0' ELSE ltrim(s_nationkey::VARCHAR, '0') END AS n, (s_suppkey % 100)::VARCHAR AS t FROM supplier),
 b AS (SELECT c_custkey AS row_id, c_nationkey::VARCHAR AS n, c_custkey::VARCHAR AS t FROM customer),
 p AS (SELECT a.row_id AS a_row, b.row_id AS b_row FROM a JOIN b ON a.n = b.n AND contains(b.t, a.t))
@@ -170,14 +166,14 @@ ORACLES = {
     "theta_verdict": _THETA + "SELECT a.row_id, count(b_row) AS match_count, coalesce(list_sort(list(b_row) FILTER (b_row IS NOT NULL))[1:20], []) AS matches FROM a LEFT JOIN p ON a.row_id = p.a_row GROUP BY 1",
     "inclusion_matches": _THETA + "SELECT a.row_id, coalesce(list_sort(list(b_row) FILTER (b_row IS NOT NULL)), []) AS matches FROM a LEFT JOIN p ON a.row_id = p.a_row GROUP BY 1",
     "set_equality_orders": "WITH s AS (SELECT l_orderkey AS owner, list_sort(list_distinct(list(l_suppkey % 7))) AS items FROM lineitem GROUP BY 1) SELECT owner, twin FROM (SELECT owner, CASE WHEN owner = nth_value(owner, 1) OVER w THEN nth_value(owner, 2) OVER w ELSE nth_value(owner, 1) OVER w END AS twin FROM s WINDOW w AS (PARTITION BY items ORDER BY owner ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) WHERE twin IS NOT NULL",
-    "range_match_amounts": "SELECT o_orderkey AS a_row, c_custkey AS b_row FROM orders JOIN customer ON abs(c_acctbal * 20 - o_totalprice) <= abs(o_totalprice) * 0.001 WHERE o_orderpriority = '1-URGENT'",
+    "range_match_amounts": "SELECT o_orderkey AS a_row, c_custkey AS b_row FROM orders JOIN customer ON abs(c_acctbal * 20 - o_totalprice) <= abs(o_totalprice) * 0.001",
     "nearest_match": "SELECT a.event_id AS a_row, first(b.event_id ORDER BY abs(b.value - a.value), b.value, b.event_id) AS b_row, round(min(abs(b.value - a.value)), 9) AS distance FROM events a JOIN events b ON a.user_id = b.user_id AND abs(b.value - a.value) <= 3.0 WHERE a.event_type = 'click' AND b.event_type = 'view' GROUP BY 1",
     "status_counts": """SELECT c_custkey, count(o_orderkey) AS total, count(*) FILTER (o_orderstatus = 'O') AS "O", count(*) FILTER (o_orderstatus = 'F') AS "F", count(*) FILTER (o_orderstatus = 'P') AS "P" FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""",
     "latest_orders": "SELECT o_orderkey, o_orderdate::DATE::VARCHAR AS day FROM orders ORDER BY day DESC, o_orderkey DESC LIMIT 200 OFFSET 50",
     "consensus_mode": "WITH c AS (SELECT user_id, event_type AS value, count(*) AS votes, min(event_id) AS f FROM events GROUP BY 1, 2) SELECT user_id, first(value ORDER BY votes DESC, f) AS value, max(votes) AS votes, count(*) > 1 AS disputed FROM c GROUP BY 1",
     "recency_winner": "SELECT user_id, event_type, last(event_id ORDER BY ts::DATE, event_id) AS seq, last(value::DECIMAL(18,4)::VARCHAR ORDER BY ts::DATE, event_id) AS value, strftime(max(ts::DATE), '%d/%m/%Y') AS eff_date FROM events GROUP BY 1, 2",
     "round_robin": "SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id)::INT AS turn FROM events",
-    "pivot_fields": "SELECT user_id, min(event_id) FILTER (event_type = 'click') AS click, min(event_id) FILTER (event_type = 'view') AS view, min(event_id) FILTER (event_type = 'purchase') AS purchase FROM events GROUP BY 1",
+    "pivot_fields": "SELECT user_id, min(event_id) FILTER (event_type = 'click') AS click, min(event_id) FILTER (event_type = 'view') AS view, min(event_id) FILTER (event_type = 'purchase') AS purchase, min(event_id) FILTER (event_type = 'signup') AS signup, min(event_id) FILTER (event_type = 'error') AS error FROM events GROUP BY 1",
     "json_props": "SELECT event_id, (props::JSON->>'k')::INT AS k FROM events",
     "distinct_users": "SELECT event_type, count(DISTINCT user_id) AS users, count(*) FILTER (value > 50) AS high, round(median(value), 6) AS median_value FROM events GROUP BY 1",
 }

@@ -90,7 +90,7 @@ def numeric_facts(spark, d):
 
 
 def page_pairs(spark, d):
-    pages = table(spark, d, "orders").filter("o_orderkey % 10 = 0").select(
+    pages = table(spark, d, "orders").select(
         F.col("o_orderkey").alias("page_id"),
         F.concat(F.lit("Order: "), F.col("o_orderkey").cast("string"), F.lit("  Total: "), F.format_string("%.2f", "o_totalprice"), F.lit("\nStatus    Opened\n"), F.rpad("o_orderstatus", 10, " "), F.date_format("o_orderdate", "dd/MM/yyyy")).alias("page"),
     )
@@ -153,7 +153,7 @@ ORACLES = {
     "label_normalised": rf"""SELECT doc_id, md5({_SQUEEZE.format("regexp_replace(lower(strip_accents(text)), '[-‐-―/_:;]+', ' ', 'g')")}) AS label_md5, md5(regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g')) AS plain_md5,
       len(regexp_replace(text, '[\s\x{{00A0}}]+', ' ', 'g'))::INT AS useful FROM documents""",
     "point_ids": "WITH h AS (SELECT doc_id, sha1(source || '|' || doc_id) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS point FROM h",
-    "page_pairs": """WITH o AS (SELECT o_orderkey AS page_id, printf('%.2f', o_totalprice) AS total, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders WHERE o_orderkey % 10 = 0)
+    "page_pairs": """WITH o AS (SELECT o_orderkey AS page_id, printf('%.2f', o_totalprice) AS total, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders)
       SELECT page_id, 1 AS row, 'Order' AS label, page_id::VARCHAR AS value, NULL::INT AS "column" FROM o UNION ALL SELECT page_id, 1, 'Total', total, NULL FROM o UNION ALL SELECT page_id, 2, 'Opened', day, 10 FROM o""",
     "eval_score": """WITH a AS (SELECT doc_id, CASE WHEN n_chars % 11 = 0 THEN '' WHEN n_chars % 13 = 0 THEN '9' WHEN n_chars > 1000 THEN '1' ELSE '0' END AS v FROM documents),
       j AS (SELECT l.quality::VARCHAR AS e, nullif(a.v, '') AS v FROM labels l LEFT JOIN a USING (doc_id)),

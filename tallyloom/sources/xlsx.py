@@ -128,26 +128,26 @@ class Workbook:
 @dataclass
 class _Sheet(InputPartition):
     path: str
-    content: bytes
     sheet: str
 
 
 class _Reader(DataSourceReader):
+    """Workbooks of a folder that is mounted on all machines; ``cells_of`` reads those of any other store."""
+
     def __init__(self, options: dict):
-        self.path, self.sheet = options["path"], options.get("sheet")
+        self.path, self.sheet = options["path"].removeprefix("file://"), options.get("sheet")
 
     def partitions(self) -> Sequence[InputPartition]:
-        spark = SparkSession.active()
-        found = spark.read.format("binaryFile").load(self.path).select("path", "content").toLocalIterator()
-        out = []
-        for r in found:
-            data = bytes(r["content"])
-            names = list(Workbook.open(data).sheets)
-            out += [_Sheet(r["path"], data, s) for s in names if self.sheet in (None, s)]
-        return out
+        from pathlib import Path
+
+        top = Path(self.path)
+        files = [top] if top.is_file() else sorted(p for p in top.rglob("*.xlsx") if not p.name.startswith((".", "~$")))
+        return [_Sheet(str(p), s) for p in files for s in Workbook.open(p.read_bytes()).sheets if self.sheet in (None, s)]
 
     def read(self, partition: _Sheet) -> Iterator[tuple]:
-        for row, column, ref, text, number, style, is_date in Workbook.open(partition.content).cells(partition.sheet):
+        with open(partition.path, "rb") as f:
+            book = Workbook.open(f.read())
+        for row, column, ref, text, number, style, is_date in book.cells(partition.sheet):
             yield partition.path, partition.sheet, row, column, ref, text, number, style, is_date
 
 
