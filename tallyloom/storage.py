@@ -1,4 +1,4 @@
-"""Intermediate tables in the shared folder that ``spark.checkpoint.dir`` names."""
+"""Intermediate tables in the shared folder that ``spark.checkpoint.dir`` names: they cut lineage and survive executors."""
 
 from __future__ import annotations
 
@@ -6,16 +6,33 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
+_written: list[str] = []
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: cuts the lineage of loops, and survives lost executors."""
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/tallyloom/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written as Parquet and read back: later jobs restart from these files."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Delete the tables this process wrote; call it when the results that read them are stored."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(hadoop).delete(path, True)
