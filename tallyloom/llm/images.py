@@ -3,7 +3,7 @@
 Corners are found at several scales (Harris response, local maxima), turned upright by the intensity centroid of their
 patch and described by 128 binary brightness tests, as four 32-bit words.  Two descriptors can meet if one word is
 equal, so the words are the keys of four hash tables: distances up to 3 are always found, larger ones unless every word
-differs.  Matches vote for a rotation, a scale step and a translation, in bins that overlap by half; images whose
+differs.  The queries' keys set bits in a map of fixed size, so that only descriptors that may meet one are shuffled.  Matches vote for a rotation, a scale step and a translation, in bins that overlap by half; images whose
 matches agree on one placement are copies, also when cropped, brightened or re-encoded.
 
 Equal images are one class first, so a group of copies is searched once.  Queries are a stated set of images, against
@@ -20,6 +20,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import bitmaps
+from .scratch import materialise
+
 SCALES = (1.0, 0.5)
 #: Corners kept at each scale, the strongest first, and the least response relative to the image's strongest.
 CORNERS = 48
@@ -27,11 +30,13 @@ RESPONSE = 0.01
 RADIUS = 11
 TESTS = 128
 ANGLES = 24
-MAX_DISTANCE = 20
+MAX_DISTANCE = 12
 #: Pixels and turns (in units of ANGLES) of a vote's bin.
 SHIFT_BIN = 12
 TURN_BIN = 4
+#: Corners that must agree on one placement: so many, and this share of the query's.
 MIN_INLIERS = 6
+MIN_SHARE = 0.2
 
 _rng = np.random.Generator(np.random.PCG64(31))
 _pairs = np.clip(np.round(_rng.normal(0, RADIUS / 2.2, (TESTS, 2, 2))), -RADIUS + 3, RADIUS - 3)
@@ -57,6 +62,10 @@ def _halve(x: np.ndarray) -> np.ndarray:
     return x[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
 
 
+#: Bits of the map of the queries' keys (16 MB).
+MAP_BITS = 1 << 27
+
+
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """x, y (in the image's pixels), scale index, angle index and four 32-bit words of each corner."""
     out = []
@@ -95,12 +104,23 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def descriptors(images: DataFrame) -> DataFrame:
-    """(image, corner, x, y, level, angle, w0..w3) from rows (image, height, width, pixels): one byte of luminance a pixel.
+def _places(words: np.ndarray, table: int) -> np.ndarray:
+    """Where a table's keys stand in the map of bits; ``_place`` is the same for a column."""
+    return ((words ^ (words >> 7) ^ (words >> 17)) + table * 7919) & (MAP_BITS - 1)
+
+
+def _place(word: Column, table: Column) -> Column:
+    return (word.bitwiseXOR(F.shiftright(word, 7)).bitwiseXOR(F.shiftright(word, 17)) + table * 7919).bitwiseAND(MAP_BITS - 1)
+
+
+def descriptors(images: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
+    """(image, corner, x, y, level, angle, w0..w3, tables) from rows (image, height, width, pixels): one byte a pixel.
 
-    Null or malformed pixels (not height x width bytes), and images without corners, have no rows.
+    ``tables`` has a bit for each hash table in which the descriptor may meet one of ``wanted`` (a map of bits; all
+    without it); those that meet none are left out.  Null or malformed pixels (not height x width bytes), and images without corners, have no rows.
     """
-    names = ["image", "corner", "x", "y", "level", "angle", "w0", "w1", "w2", "w3"]
+    names = ["image", "corner", "x", "y", "level", "angle", "w0", "w1", "w2", "w3", "tables"]
+    shared = images.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -111,23 +131,27 @@ def descriptors(images: DataFrame) -> DataFrame:
                 if raw is None or heights[i] is None or widths[i] is None or len(raw) != heights[i] * widths[i] or not raw:
                     continue
                 found = describe(np.frombuffer(raw, np.uint8).reshape(heights[i], widths[i]))
+                found = (*found, np.arange(len(found[0])), np.full(len(found[0]), 15))
+                if shared.value is not None:
+                    hits = sum(bitmaps.test(shared.value, _places(found[4][:, k], k)).astype(np.int64) << k for k in range(4))
+                    found = tuple(x[hits > 0] for x in (*found[:6], hits))
                 if len(found[0]):
                     rows.append((i, len(found[0])))
                     parts.append(found)
             if parts:
                 which = np.repeat([r for r, _ in rows], [n for _, n in rows])
-                columns = [np.concatenate([p[k] for p in parts]) for k in range(5)]
-                corner = np.concatenate([np.arange(n) for _, n in rows])
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(corner, pa.int32()), *[pa.array(c, pa.int32()) for c in columns[:4]], *[pa.array(columns[4][:, k]) for k in range(4)]], names=names)
+                columns = [np.concatenate([p[k] for p in parts]) for k in range(7)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(columns[5], pa.int32()), *[pa.array(c, pa.int32()) for c in columns[:4]], *[pa.array(columns[4][:, k]) for k in range(4)], pa.array(columns[6], pa.int32())], names=names)
 
     kind = images.schema["image"].dataType.simpleString()
-    return images.select("image", "height", "width", "pixels").mapInArrow(run, f"image {kind}, corner int, x int, y int, level int, angle int, w0 long, w1 long, w2 long, w3 long")
+    return images.select("image", "height", "width", "pixels").mapInArrow(run, f"image {kind}, corner int, x int, y int, level int, angle int, w0 long, w1 long, w2 long, w3 long, tables int")
 
 
 def _tables(d: DataFrame, side: str) -> DataFrame:
     words = [f"w{k}" for k in range(4)]
-    keys = F.posexplode(F.array(*words)).alias("table", "key")
-    return d.select(*[F.col(c).alias(f"{side}_{c}") for c in ("image", "corner", "x", "y", "level", "angle", *words)], keys)
+    keys = F.explode(F.array_compact(F.array(*[F.when(F.col("tables").bitwiseAND(1 << k) != 0, F.struct(F.lit(k).alias("table"), F.col(w).alias("key"))) for k, w in enumerate(words)])))
+    rows = d.select(*[F.col(c).alias(f"{side}_{c}") for c in ("image", "corner", "x", "y", "level", "angle", *words)], keys.alias("_k"))
+    return rows.select("*", "_k.table", "_k.key").drop("_k")
 
 
 def _bins(value: Column, width: int) -> Column:
@@ -143,7 +167,10 @@ def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_I
     """
     content = F.sha2(F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.hex("pixels")), 256)
     distinct = images.filter("pixels IS NOT NULL").groupBy(content.alias("_content")).agg(F.min(F.struct("image", "height", "width", "pixels")).alias("x")).select("x.*")
-    q, d = _tables(descriptors(queries), "q"), _tables(descriptors(distinct), "d")
+    corners = materialise(descriptors(queries), "corners")
+    q = _tables(corners, "q")
+    wanted = bitmaps.build(q.select(_place(F.col("key"), F.col("table")).alias("at")), "at", MAP_BITS)
+    d = _tables(descriptors(distinct, wanted), "d")
     distance = sum((F.bit_count(F.col(f"q_w{k}").bitwiseXOR(F.col(f"d_w{k}"))) for k in range(1, 4)), F.bit_count(F.col("q_w0").bitwiseXOR(F.col("d_w0"))))
     met = q.join(d, ["table", "key"]).filter(distance <= MAX_DISTANCE)
     pairs = met.select("q_image", "d_image", "q_corner", "d_corner", "q_x", "q_y", "d_x", "d_y", F.pmod(F.col("d_angle") - F.col("q_angle"), F.lit(ANGLES)).alias("turn"), (F.col("d_level") - F.col("q_level")).alias("step")).distinct()
@@ -154,7 +181,8 @@ def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_I
     votes = pairs.withColumn("bx", F.explode(_bins(tx, SHIFT_BIN))).withColumn("by", F.explode(_bins(ty, SHIFT_BIN))).withColumn("bt", F.explode(_bins(F.col("turn"), TURN_BIN)))
     wrap = F.pmod("bt", F.lit(2 * ANGLES // TURN_BIN))
     agreed = votes.groupBy("q_image", "d_image", "bx", "by", wrap.alias("bt"), "step").agg(F.countDistinct("q_corner").alias("a"), F.countDistinct("d_corner").alias("b"), F.min("turn").alias("turn"))
-    best = agreed.withColumn("inliers", F.least("a", "b")).filter(F.col("inliers") >= min_inliers)
+    size = corners.groupBy(F.col("image").alias("q_image")).agg(F.count("*").alias("n"))
+    best = agreed.withColumn("inliers", F.least("a", "b")).filter(F.col("inliers") >= min_inliers).join(size, "q_image").filter(F.col("inliers") >= F.col("n") * MIN_SHARE)
     return best.groupBy("q_image", "d_image").agg(F.max(F.struct("inliers", (-F.abs("step")).alias("near"), "turn", "step")).alias("m")).select(F.col("q_image").alias("query"), F.col("d_image").alias("image"), F.col("m.inliers").alias("inliers"), F.col("m.turn").alias("turn"), F.col("m.step").alias("level_step"))
 
 
