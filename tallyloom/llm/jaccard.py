@@ -1,45 +1,53 @@
 """Exact n-gram Jaccard self-join with adaptive multi-match prefixes (operator 9).
 
-A document is the set of its distinct word shingles.  Shingles have one global order: those not known to recur, by
-hash; then the recurring ones by estimated frequency, rarest first.  If two sets r and s reach the threshold t, they
+A document is the set of its distinct word shingles.  Shingles have one global order, by estimated frequency and then
+by hash.  The estimate is the larger of what the frequencies of the shingle's words let expect and the counts of shingles
+that recur within tasks; both tables have a fixed bound.  If two sets r and s reach the threshold t, they
 share at least ceil(t * |r|) shingles of r, so for any l the first |r| - ceil(t * |r|) + l shingles of both share l or
 more.  Each document takes the l of least estimated cost: a longer prefix costs more postings, but candidates must then
-share more of it: what the prefixes do not share can only lie behind one of them, so a pair is a candidate if the shared
-part of its prefixes and the longer of its rests add up to the overlap that the threshold asks of sets of these sizes
-(at least min(l_r, l_s) shared shingles, and far more for sets of like size).  Candidates are verified on whole sets.
+share more of it.  Towards partners that are not smaller a shorter prefix will do, and every shared shingle must stand at
+places that leave enough before and behind it.  A pair is a candidate if its prefixes share min(l_r, l_s) shingles and
+what lies behind the last of them can make up the overlap that sets of these sizes need.  Candidates are verified on
+whole sets.
 
 Links need not be listed pair by pair, so no group is expanded into its pairs:
 
 1. equal sets are linked through one representative per task and set;
 2. within each posting list every document is first compared with the list's smallest one only, and verified if they
    share enough in this way;
-3. what those links connect is one component; only documents of different components that meet in a list go through
-   the multi-match count and are verified, so no link between different texts is lost;
-4. connected components of all verified links.
+3. what those links connect is one component; long lists that still hold many pairs between components are thinned by
+   turns in which each document meets a few others of its list;
+4. documents of different components that meet in a list go through the multi-match count and are verified, so no link
+   that could join two components is lost;
+5. connected components of all verified links.
 
-Frequencies are estimates (counts within tasks, summed); they only choose the order, so they never change the result.
+Estimates only choose the order and l, so they never change the result.
 Long posting lists are dealt to several tasks by a salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from . import kernels as K
 from .components import connected_components
 from .scratch import materialise
 
 SHINGLE = 5
 PERCENT = 75
-#: The most recurring shingles that are ordered by frequency: at most so many are broadcast, 12 bytes each.
+#: Words of this share of all words or more are broadcast (1 / COMMON at most); rarer ones count as just below it.
+COMMON = 2.0**-17
+#: At most so many counts of recurring shingles are broadcast, 12 bytes each.
 MAX_FREQUENT = 1 << 20
-#: A task's shingle counts are cut to the recurring ones when so many have gathered.
+#: A task's counts are cut to the recurring ones when so many have gathered.
 FLUSH = 1 << 21
 #: Rows of a posting list that one task takes.
 LIST_ROWS = 1 << 14
@@ -50,16 +58,71 @@ VERIFY_COST = 4.0
 MAP_BITS = 1 << 26
 
 
+#: Lists whose pairs between components are more than so many times their rows are first thinned by comparing each
+#: document with PIVOTS others, as long as that halves the pairs.
+LINEAR = 32
+PIVOTS = 8
+
+
+LIST_COLUMNS = ["h", "salt", "doc_id", "n", "l", "i", "pivot", "pivot_n", "pivot_l", "pivot_i", "met"]
+LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+
+
 def required(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
     """Shingles that a set of n must share with any partner."""
     return (percent * n + 99) // 100
 
 
-def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+def _words(column: pa.Array) -> Iterator[tuple[K.Chunk, np.ndarray, np.ndarray]]:
     for chunk in K.chunks(column, lower=True):
         starts, ends, bounds = chunk.spans(K.SPACES)
-        hashes = chunk.span_hash(chunk.prefix_hash(), starts, ends)
-        yield from zip(chunk.rows, K.shingle_hashes(hashes, bounds, k), strict=True)
+        yield chunk, chunk.span_hash(chunk.prefix_hash(), starts, ends), bounds
+
+
+def overlap(sizes: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
+    """Shingles that two sets of so many together must share."""
+    return (percent * sizes + 99 + percent) // (100 + percent)
+
+
+def short(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """Length of a set's prefix towards partners that are not smaller."""
+    return n - overlap(2 * n, percent) + m
+
+
+def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    for chunk, hashes, bounds in _words(column):
+        yield from zip(chunk.rows, [s for s, _ in K.shingle_sets(hashes, bounds, k)], strict=True)
+
+
+def _runs(x: np.ndarray) -> np.ndarray:
+    """Where the runs of equal values of a sorted array start."""
+    return np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
+
+
+class Tally:
+    """Counts of hashes in a task; beyond FLUSH, those seen less than ``least`` times are let go."""
+
+    def __init__(self, least: int):
+        self.least, self.held, self.room = least, [], 0
+        self.keys, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, x: np.ndarray) -> None:
+        self.held.append(x)
+        self.room += len(x)
+        if self.room > FLUSH:
+            self.settle()
+
+    def settle(self) -> None:
+        x = np.sort(np.concatenate([*self.held, np.zeros(0, np.uint64)]))
+        self.held, self.room = [], 0
+        at = _runs(x)
+        keys, counts = np.concatenate([self.keys, x[at]]), np.concatenate([self.counts, np.diff(at, append=len(x))])
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        at = _runs(keys)
+        counts = np.add.reduceat(counts, at) if len(at) else counts
+        keep = counts >= self.least
+        self.keys, self.counts = keys[at][keep], counts[keep]
 
 
 def _key(s: np.ndarray) -> bytes:
@@ -67,60 +130,80 @@ def _key(s: np.ndarray) -> bytes:
 
 
 def _batch(schema: list[str], *columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in columns], names=schema)
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(t.to_pandas_dtype()) if isinstance(c, np.ndarray) else c, t) for c, t in columns], names=schema)
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Stored rows of two kinds from (doc_id, text): documents (doc_id, n, key, rep) and shingles (n, shingle).
+    """Stored rows of three kinds from (doc_id, text): documents (doc_id, n, key, rep), shingles and words (n, hash).
 
     ``rep`` is the first document of the task with the same set.  Shingles come with their counts over the task's
-    distinct sets, where that is two or more.
+    distinct sets, where that is two or more, words where they are COMMON of the task's words; the number of all words
+    comes as a word with hash null.
     """
-    names = ["kind", "doc_id", "n", "key", "rep", "shingle"]
+    names = ["kind", "doc_id", "n", "key", "rep", "hash"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps: dict[bytes, int] = {}
-        held: list[np.ndarray] = []
-        counted = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-
-        def count() -> tuple[np.ndarray, np.ndarray]:
-            x = np.sort(np.concatenate([*held, np.zeros(0, np.uint64)]))
-            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
-            n = np.diff(at, append=len(x))
-            x = np.concatenate([counted[0], x[at]])
-            n = np.concatenate([counted[1], n])
-            order = np.argsort(x, kind="stable")
-            x, n = x[order], n[order]
-            at = np.flatnonzero(np.concatenate((np.ones(min(1, len(x)), bool), x[1:] != x[:-1])))
-            total = np.add.reduceat(n, at) if len(at) else n
-            keep = total >= 2
-            return x[at][keep], total[keep]
-
+        shingles, words, n_words = Tally(2), Tally(2), 0
         for batch in batches:
             ids = batch.column(0).to_pylist()
             size, keys, first = np.zeros(len(ids), np.int64), [b""] * len(ids), [None] * len(ids)
-            for i, s in _sets(batch.column(1), k):
-                size[i], keys[i] = len(s), _key(s)
-                if len(s) and ids[i] is not None:
-                    if keys[i] not in reps:
-                        held.append(s)
-                    first[i] = reps.setdefault(keys[i], ids[i])
-            if sum(map(len, held)) > FLUSH:
-                counted = count()
-                held = []
+            for chunk, hashes, bounds in _words(batch.column(1)):
+                words.add(hashes)
+                n_words += len(hashes)
+                for i, (s, _) in zip(chunk.rows, K.shingle_sets(hashes, bounds, k), strict=True):
+                    size[i], keys[i] = len(s), _key(s)
+                    if len(s) and ids[i] is not None:
+                        if keys[i] not in reps:
+                            shingles.add(s)
+                        first[i] = reps.setdefault(keys[i], ids[i])
             yield _batch(names, ([0] * len(ids), pa.int32()), (ids, pa.int64()), (size, pa.int64()), (keys, pa.binary()), (first, pa.int64()), ([None] * len(ids), pa.int64()))
-        x, n = count()
-        for i in range(0, len(x), 100_000):
-            part = K.as_long(x[i : i + 100_000])
-            none = [None] * len(part)
-            yield _batch(names, ([1] * len(part), pa.int32()), (none, pa.int64()), (n[i : i + 100_000], pa.int64()), (none, pa.binary()), (none, pa.int64()), (part, pa.int64()))
-
-    return materialise(docs.mapInArrow(run, "kind int, doc_id long, n long, key binary, rep long, shingle long"), "sets")
-
-
-def frequent_shingles(summary: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes in order and estimated frequencies of at most ``most`` shingles, the most frequent ones."""
-    counts = summary.filter("kind = 1").groupBy("shingle").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
+        shingles.settle()
+        words.settle()
+        often = words.counts >= n_words * COMMON
+        for kind, x, n in ((1, shingles.keys, shingles.counts), (2, words.keys[often], words.counts[often])):
+            for i in range(0, len(x), 100_000):
+                part = K.as_long(x[i : i + 100_000])
+                none = [None] * len(part)
+                yield _batch(names, ([kind] * len(part), pa.int32()), (none, pa.int64()), (n[i : i + 100_000], pa.int64()), (none, pa.binary()), (none, pa.int64()), (part, pa.int64()))
+        yield _batch(names, ([2], pa.int32()), ([None], pa.int64()), ([n_words], pa.int64()), ([None], pa.binary()), ([None], pa.int64()), ([None], pa.int64()))
+
+    return materialise(docs.mapInArrow(run, "kind int, doc_id long, n long, key binary, rep long, hash long"), "sets")
+
+
+@dataclass
+class Frequencies:
+    """Hashes in order with quarter powers of two: of words' shares (negative) and of recurring shingles' counts."""
+
+    words: tuple[np.ndarray, np.ndarray]
+    shingles: tuple[np.ndarray, np.ndarray]
+    total: int  # quarter powers of two of all words
+
+    @staticmethod
+    def quarters(x: np.ndarray | float) -> np.ndarray:
+        return np.round(4 * np.log2(np.maximum(x, 1e-12))).astype(np.int32)
+
+    @staticmethod
+    def find(table: tuple[np.ndarray, np.ndarray], x: np.ndarray, default: int) -> np.ndarray:
+        keys, values = table
+        out = np.full(len(x), default, np.int32)
+        if len(keys):
+            at = np.minimum(np.searchsorted(keys, x), len(keys) - 1)
+            hit = keys[at] == x
+            out[hit] = values[at[hit]]
+        return out
+
+    def word_shares(self, hashes: np.ndarray) -> np.ndarray:
+        return self.find(self.words, hashes, int(self.quarters(COMMON)))
+
+    def of(self, s: np.ndarray, shares: np.ndarray) -> np.ndarray:
+        """Estimated frequencies of shingles, in quarter powers of two, from their words' shares and their counts."""
+        return np.maximum(np.maximum(self.total + shares, 0), self.find(self.shingles, s, 0))
+
+
+def frequencies(summary: DataFrame, most: int = MAX_FREQUENT) -> Frequencies:
+    """Word shares, and counts of at most ``most`` recurring shingles, the most frequent ones."""
+    counts = summary.filter("kind = 1").groupBy("hash").agg(F.least(F.sum("n"), F.lit(2**31 - 1)).cast("int").alias("n"))
     counts = materialise(counts, "frequent")
     levels = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).count().orderBy(F.desc("n")).collect()
     cut, total = 100_001, 0
@@ -129,24 +212,23 @@ def frequent_shingles(summary: DataFrame, most: int = MAX_FREQUENT) -> tuple[np.
         if total > most:
             break
         cut = r["n"]
-    table = counts.filter(F.col("n") >= cut).toArrow()
-    x, n = table["shingle"].to_numpy().view(np.uint64), table["n"].to_numpy()
-    order = np.argsort(x)
-    return x[order], n[order].astype(np.int32)
-
-
-def prefix(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
+    words = summary.filter("kind = 2").groupBy("hash").agg(F.sum("n").alias("n"))
+    n_words = words.filter("hash IS NULL").agg(F.sum("n")).first()[0] or 1
+    tables = []
+    for table, scale in ((words.filter(F.col("hash").isNotNull() & (F.col("n") >= n_words * COMMON)), n_words), (counts.filter(F.col("n") >= cut), 1)):
+        got = table.select("hash", "n").toArrow()
+        x, n = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
+        order = np.argsort(x)
+        tables.append((x[order], Frequencies.quarters(n[order] / scale)))
+    return Frequencies(*tables, total=int(Frequencies.quarters(n_words)))
+
+
+def prefix(s: np.ndarray, estimate: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, int]:
     """The prefix of a sorted set in the global order, the shingles' estimated frequencies, and its l."""
-    hashes, counts = known
     n = len(s)
     share = int(required(n, percent))
-    frequency = np.ones(n, np.int64)
-    if len(hashes):
-        at = np.minimum(np.searchsorted(hashes, s), len(hashes) - 1)
-        hit = hashes[at] == s
-        frequency[hit] = counts[at[hit]]
-    order = np.argsort(frequency, kind="stable")
-    frequency = frequency[order]
+    order = np.argsort(estimate, kind="stable")
+    frequency = np.exp2(estimate[order] / 4)
     best, cost = 1, None
     for m in MATCHES[MATCHES <= share].tolist():
         extra = np.sort(frequency[: n - share + m] - 1)
@@ -154,97 +236,134 @@ def prefix(s: np.ndarray, known: tuple[np.ndarray, np.ndarray], percent: int = P
         now = extra.sum() + n - share + m + VERIFY_COST * extra[: len(extra) - m + 1].sum()
         if cost is None or now < cost:
             best, cost = m, now
-        elif extra[-1] == 0:
+        elif extra[-1] < 0.5:
             break
     size = n - share + best
-    return s[order[:size]], frequency[:size], best
+    return s[order[:size]], frequency[:size].astype(np.int64), best
 
 
-def postings(docs: DataFrame, known: tuple[np.ndarray, np.ndarray], k: int, percent: int) -> DataFrame:
-    """Stored (h, salt, doc_id, n, l, and the list's first pivot, pivot_n, pivot_l) of the prefix shingles that two or more sets have."""
+def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataFrame:
+    """Stored posting lists: h, salt, doc_id, n, l, the list's first row as pivot, pivot_n, pivot_l, and met = 0.
+
+    Lists hold documents that share a prefix shingle and whose sizes form a chain without a gap wider than the
+    threshold allows; a name of its own for each list stands in ``h``.  Lists of two documents come as pairs instead:
+    doc_id and pivot, with the number of such lists in ``met``.
+    """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
-    rows = ["h", "salt", "doc_id", "n", "l"]
+    rows = ["h", "salt", "doc_id", "n", "l", "i"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
             h, salt, doc, size = [], [], [], []
-            for i, s in _sets(batch.column(1), k):
-                if not len(s) or ids[i] is None or (key := _key(s)) in seen:
-                    continue
-                seen.add(key)
-                x, frequency, m = prefix(s, shared.value, percent)
-                salts = frequency // LIST_ROWS
-                h.append(x)
-                salt.append(np.where(salts > 0, 1 + hash(ids[i]) % np.maximum(salts, 1), 0))
-                doc.append((ids[i], len(s), m, len(x)))
+            for chunk, hashes, bounds in _words(batch.column(1)):
+                for i, (s, shares) in zip(chunk.rows, K.shingle_sets(hashes, bounds, k, shared.value.word_shares(hashes)), strict=True):
+                    if not len(s) or ids[i] is None or (key := _key(s)) in seen:
+                        continue
+                    seen.add(key)
+                    x, frequency, m = prefix(s, shared.value.of(s, shares), percent)
+                    salts = frequency // LIST_ROWS
+                    h.append(x)
+                    salt.append(np.where(salts > 0, 1 + ids[i] % np.maximum(salts, 1), 0))
+                    doc.append((ids[i], len(s), m, len(x)))
             if doc:
                 a = np.array(doc, np.int64)
-                cols = [np.concatenate(h).view(np.int64), np.concatenate(salt), *[np.repeat(a[:, j], a[:, 3]) for j in range(3)]]
+                cols = [np.concatenate(h).view(np.int64), np.concatenate(salt), *[np.repeat(a[:, j], a[:, 3]) for j in range(3)], np.concatenate([np.arange(k) for k in a[:, 3]])]
                 for i in range(0, len(cols[0]), 200_000):
                     part = [c[i : i + 200_000] for c in cols]
-                    yield _batch(rows, (part[0], pa.int64()), (part[1].astype(np.int32), pa.int32()), (part[2], pa.int64()), (part[3].astype(np.int32), pa.int32()), (part[4].astype(np.int32), pa.int32()))
+                    yield _batch(rows, (part[0], pa.int64()), (part[1].astype(np.int32), pa.int32()), (part[2], pa.int64()), (part[3].astype(np.int32), pa.int32()), (part[4].astype(np.int32), pa.int32()), (part[5].astype(np.int32), pa.int32()))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sorted rows: name the first document of each list, and leave out lists of one."""
-        pending = None  # the last list's first row, if it may yet be alone
-        last = None  # key, document and size of the list that is open
+        """Rows sorted by shingle and size: split lists where sizes are too far apart to match, leave out those of one.
+
+        Lists of two become pairs, counted per batch; longer ones stay lists.  The last list of a batch waits for the next.
+        """
+
+        def split(h, salt, doc, n, m, pos) -> Iterator[pa.RecordBatch]:
+            new = np.ones(len(h), bool)
+            new[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | ((100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64)) & (salt[1:] == 0))
+            start = np.flatnonzero(new)
+            size = np.diff(start, append=len(h))
+            two = start[(size == 2) & (salt[start] == 0)]
+            if len(two):  # rows of a list are in order of size and document: the first is the smaller set
+                fits = pos[two] < short(n[two].astype(np.int64), m[two], percent)
+                fits &= np.minimum(pos[two], pos[two + 1]) + np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= overlap(n[two].astype(np.int64) + n[two + 1], percent)
+                two = two[fits]
+            if len(two):
+                swap = doc[two] > doc[two + 1]
+                x, y = np.where(swap, two + 1, two), np.where(swap, two, two + 1)
+                order = np.lexsort((doc[y], doc[x]))
+                x, y = x[order], y[order]
+                at = np.flatnonzero(np.concatenate(([True], (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1]))))
+                met = np.diff(at, append=len(x))
+                last_x, last_y = np.maximum.reduceat(pos[x], at), np.maximum.reduceat(pos[y], at)
+                x, y = x[at], y[at]
+                zero = np.zeros(len(x), np.int64)
+                yield _batch(LIST_COLUMNS, *zip((zero, zero, doc[x], n[x], m[x], last_x, doc[y], n[y], m[y], last_y, met), LIST_TYPES, strict=True))
+            long_ = (size > 2) | (salt[start] > 0)
+            rows = np.repeat(long_, size)
+            if rows.any():
+                first = np.repeat(start, size)[rows]
+                # split lists of one shingle get names of their own; salted ones keep the shingle's
+                name = np.where(salt[rows] > 0, h[rows], K.mix(h[rows].view(np.uint64) ^ K.mix(doc[first].view(np.uint64))).view(np.int64))
+                yield _batch(LIST_COLUMNS, *zip((name, salt[rows], doc[rows], n[rows], m[rows], pos[rows], doc[first], n[first], m[first], pos[first], np.zeros(len(name), np.int64)), LIST_TYPES, strict=True))
+
+        held = None
         for batch in batches:
-            h, salt, doc, n, m = (batch.column(i).to_numpy() for i in range(5))
+            part = [batch.column(i).to_numpy() for i in range(6)]
+            if held is not None:
+                part = [np.concatenate(x) for x in zip(held, part, strict=True)]
+            h, salt = part[:2]
             if not len(h):
                 continue
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1])
-            goes_on = last is not None and (h[0], salt[0]) == last[0]
-            new[0] = not goes_on
-            start = np.maximum.accumulate(np.where(new, np.arange(len(h)), -1))
-            pivot = np.where(start >= 0, doc[start], last[1] if goes_on else 0)
-            pivot_n, pivot_l = (np.where(start >= 0, x[start], last[j] if goes_on else 0) for j, x in ((2, n), (3, m)))
-            alone = new & np.append(new[1:], True) & (salt == 0)
-            undecided = alone[-1]
-            out = [h, salt, doc, n, m, pivot, pivot_n, pivot_l]
-            keep = ~alone
-            out = [x[keep] for x in out]
-            if pending is not None and goes_on:
-                out = [np.concatenate([[p], x]).astype(x.dtype) for p, x in zip(pending, out, strict=True)]
-            pending = (h[-1], salt[-1], doc[-1], n[-1], m[-1], doc[-1], n[-1], m[-1]) if undecided else None
-            last = ((h[-1], salt[-1]), pivot[-1], pivot_n[-1], pivot_l[-1])
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
-            yield _batch([*rows, "pivot", "pivot_n", "pivot_l"], *[(x.astype(t.to_pandas_dtype()), t) for x, t in zip(out, types, strict=True)])
-
-    sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int")
-    sorted_ = sent.repartition("h", "salt").sortWithinPartitions("h", "salt", "doc_id")
-    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int"), "postings")
+            open_ = int(np.flatnonzero((h != h[-1]) | (salt != salt[-1]))[-1]) + 1 if ((h != h[-1]) | (salt != salt[-1])).any() else 0
+            held = [x[open_:] for x in part]
+            if open_:
+                yield from split(*[x[:open_] for x in part])
+        if held is not None and len(held[0]):
+            yield from split(*held)
+
+    sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int, i int")
+    sorted_ = sent.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "doc_id")
+    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, i int, pivot long, pivot_n int, pivot_l int, pivot_i int, met long"), "postings")
 
 
 def _near(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
 
 
+def _may(percent: int):
+    """What every shared prefix shingle of a linked pair satisfies: it stands in the short prefix of the smaller set, and
+    at places that leave enough before and behind for the overlap that the sizes ask for."""
+    short_ = lambda n, m: f"{n} - ({2 * percent}L * {n} + {99 + percent}) div {100 + percent} + {m}"
+    smaller = f"CASE WHEN na < nb OR (na = nb AND a < b) THEN ia < {short_('na', 'la')} ELSE ib < {short_('nb', 'lb')} END"
+    room = f"least(ia, ib) + least(na - ia, nb - ib) >= ({percent}L * (na + nb) + {99 + percent}) div {100 + percent}"
+    return F.expr(f"{smaller} AND {room}")
+
+
 def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (a, b, na, nb, la, lb), one for each shared prefix shingle, that may reach the threshold."""
-    counted = met.groupBy("a", "b").agg(F.count("*").alias("met"), *[F.min(c).alias(c) for c in ("na", "nb", "la", "lb")])
-    rest = F.expr(f"greatest(({percent} * na + 99) div 100 - la, ({percent} * nb + 99) div 100 - lb)")
-    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
-    return counted.filter((F.col("met") >= F.least("la", "lb")) & (F.col("met") + rest >= overlap)).select("a", "b")
+    """Pairs (a, b, met, and further columns) that may reach the threshold.
+
+    ``met`` has a row for each shared prefix shingle, or for some of them (met) with their last places ia and ib; further
+    columns are the same for all rows of a pair.  Behind the last shared place there is only so much left to share.
+    """
+    kept = [c for c in met.columns if c not in ("a", "b", "met", "ia", "ib")]
+    counted = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), *[F.min(c).alias(c) for c in kept])
+    behind = F.expr(f"met + least(na - ia, nb - ib) - 1 >= ({percent}L * (na + nb) + {99 + percent}) div {100 + percent}")
+    return counted.filter((F.col("met") >= F.least("la", "lb")) & behind).drop("na", "nb", "la", "lb", "ia", "ib")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """Stored (doc_id, s) for the documents in ``wanted`` (and a few more, where bits of the map coincide)."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
-    bits = wanted.select(spot("doc_id").alias("at")).groupBy(F.floor(F.col("at") / 32768).alias("page")).agg(F.bitmap_construct_agg(F.col("at") % 32768).alias("bits"))
-    table = bits.toArrow()
-    pages = np.zeros((MAP_BITS // 32768, 4096), np.uint8)
-    for page, b in zip(table["page"].to_pylist(), table["bits"].to_pylist(), strict=True):
-        pages[page] = np.frombuffer(b, np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(pages.ravel())
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted.select(spot("doc_id").alias("at")), "at", MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array((shared.value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
+            batch = batch.filter(pa.array(bitmaps.test(shared.value, at)))
             ids = batch.column(0).to_pylist()
             out = [(ids[i], s) for i, s in _sets(batch.column(1), k) if len(s)]
             for i in range(0, len(out), 500):
@@ -261,7 +380,7 @@ def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame
     sets = whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k)
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    return pairs.select("a", "b").join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -280,27 +399,69 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     equal = same.filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     equal = equal.union(reps.join(reps.groupBy("key").agg(F.min("rep").alias("least")), "key").filter("rep <> least").select("rep", "least"))
 
-    lists = postings(docs, frequent_shingles(summary), shingle, percent)
-    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n", "pivot_l").distinct()
-    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n", "pivot_l")).alias("top"))
-    ends = ["a", "b", "na", "nb", "la", "lb"]
-    across = heads.join(head, "h").select(*[F.col(c).alias(x) for c, x in zip(["top.pivot", "pivot", "top.pivot_n", "pivot_n", "top.pivot_l", "pivot_l"], ends, strict=True)])
-    first = lists.select(*[F.col(c).alias(x) for c, x in zip(["pivot", "doc_id", "pivot_n", "n", "pivot_l", "l"], ends, strict=True)])
-    stars = materialise(candidates(first.union(across).filter("a <> b").filter(_near("na", "nb", percent)), percent), "stars")
+    found = postings(docs, frequencies(summary), shingle, percent)
+    lists, two = found.filter("met = 0"), found.filter("met > 0")
+    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n", "pivot_l", "pivot_i").distinct()
+    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n", "pivot_l", "pivot_i")).alias("top"))
+    ends = ["a", "b", "na", "nb", "la", "lb", "ia", "ib", "met"]
+    named = lambda df, columns, *more: df.select(*[(F.lit(1) if c is None else F.col(c)).cast("long" if x in ("a", "b", "met") else "int").alias(x) for c, x in zip(columns, ends, strict=True)], *more).filter("a <> b").filter(_near("na", "nb", percent)).filter(_may(percent))
+    across = named(heads.join(head, "h"), ["top.pivot", "pivot", "top.pivot_n", "pivot_n", "top.pivot_l", "pivot_l", "top.pivot_i", "pivot_i", None])
+    first = named(lists, ["pivot", "doc_id", "pivot_n", "n", "pivot_l", "l", "pivot_i", "i", None])
+    pairs = two.select(*[F.col(c).alias(x) for c, x in zip(["doc_id", "pivot", "n", "pivot_n", "l", "pivot_l", "i", "pivot_i", "met"], ends, strict=True)])
+    sorted_ends = lambda df, *more: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("nb", "na"), ("la", "lb"), ("lb", "la"), ("ia", "ib"), ("ib", "ia"))], "met", *more)
+    stars = materialise(candidates(sorted_ends(first.union(across)).union(pairs), percent), "stars")
     links = materialise(equal.union(verify(docs, stars, shingle, percent)), "links")
     known = connected_components(links)
 
     # documents of different components that meet in a list
-    placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("h", "doc_id", "n", "l", "c")
-    mixed = placed.groupBy("h").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 < c2").select("h")
-    placed = materialise(placed.join(mixed, "h", "left_semi"), "mixed")
-    a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c")]) for x in "ab")
-    met = a.join(b, "h").filter("ca < cb").filter(_near("na", "nb", percent)).select(F.col("doc_ida").alias("a"), F.col("doc_idb").alias("b"), "na", "nb", "la", "lb")
-    more = materialise(verify(docs, materialise(candidates(met, percent), "pairs"), shingle, percent), "links")
-    if not more.isEmpty():
+    before = None
+    while True:
+        placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("h", "doc_id", "n", "l", "i", "c")
+        parts = placed.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"))
+        mixed = parts.filter("parts > 1").select("h", "rows", F.expr("(rows * rows - squares) div 2").alias("pairs"))
+        placed = materialise(placed.join(mixed, "h"), "mixed")
+        long_ = placed.filter(F.col("pairs") > F.col("rows") * LINEAR)
+        apart = long_.agg(F.coalesce(F.sum(F.col("pairs") / F.col("rows")), F.lit(0.0))).first()[0]
+        if not apart or (before is not None and apart > before / 2):
+            break
+        # each document of a long list meets a few others of its longest one, before all pairs are formed: those that are
+        # in most long lists, as they have the fewest shingles of their own
+        before = apart
+        longest = long_.groupBy("doc_id", "n", "c").agg(F.max(F.struct("rows", "h")).alias("m"), F.count("*").alias("lists")).select("doc_id", "n", "c", "lists", F.col("m.h").alias("h"))
+        longest = materialise(longest, "longest")
+        part = F.pmod(F.xxhash64("doc_id"), F.lit(PIVOTS))
+        heads = [F.max(F.when(part == j, F.struct("lists", "doc_id", "n", "c"))).alias(f"p{j}") for j in range(PIVOTS)]
+        heads = longest.groupBy("h").agg(*heads).select("h", F.explode(F.array_compact(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
+        met = longest.join(heads, "h").filter("c <> p.c").filter(_near("n", "p.n", percent)).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
+        more = materialise(verify(docs, materialise(met.distinct(), "stars"), shingle, percent), "links")
+        if more.isEmpty():
+            break
         known = connected_components(known.union(more))
-    found = rows.select("doc_id", F.col("n").alias("n_shingles")).join(known, F.col("doc_id") == F.col("node"), "left")
-    return found.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "i", "c")]) for x in "ab")
+    met = named(a.join(b, "h").filter("ca < cb"), ["doc_ida", "doc_idb", "na", "nb", "la", "lb", "ia", "ib", None], "ca", "cb")
+    labels = known.select("node", "component")
+    apart = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
+    apart = apart.select(*ends, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+    open_ = materialise(candidates(sorted_ends(met, "ca", "cb").union(apart), percent).join(stars, ["a", "b"], "left_anti"), "open")
+    # the likeliest pair of two components first, then some more, then all that are still apart
+    for most in (1, 8, None):
+        ranked = open_
+        if most:
+            ranked = open_.withColumn("r", F.row_number().over(Window.partitionBy("ca", "cb").orderBy(F.desc("met"), "a", "b"))).filter(F.col("r") <= most).drop("r")
+        tried = materialise(ranked, "pairs")
+        if tried.isEmpty():
+            break
+        more = materialise(verify(docs, tried, shingle, percent), "links")
+        open_ = open_.join(tried, ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            known = connected_components(known.union(more))
+            joined = connected_components(tried.join(more, ["a", "b"]).select("ca", "cb"))
+            open_ = open_.join(joined.toDF("ca", "na"), "ca", "left").join(joined.toDF("cb", "nb"), "cb", "left").select("a", "b", "met", F.coalesce("na", "ca").alias("x"), F.coalesce("nb", "cb").alias("y")).filter("x <> y")
+            open_ = open_.select("a", "b", "met", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
+        if most:
+            open_ = materialise(open_, "open")
+    out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(known, F.col("doc_id") == F.col("node"), "left")
+    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
