@@ -92,6 +92,18 @@ class Chunk:
         return starts, ends, np.searchsorted(starts, self.offsets)
 
 
+def trim() -> None:
+    """Give freed memory back to the system: between batches a worker would otherwise keep its peak."""
+    cache = worker_cache()
+    if "trim" not in cache:
+        import ctypes
+
+        cache["trim"] = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if cache["trim"]:
+        cache["trim"](0)
+    pa.default_memory_pool().release_unused()
+
+
 def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int = CHUNK) -> Iterator[Chunk]:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
@@ -109,27 +121,48 @@ def chunks(column: pa.Array | pa.ChunkedArray, lower: bool = False, size: int =
         part = data[offsets[i] : offsets[j]]
         yield Chunk(LOWER[part] if lower else part, (offsets[i : j + 1] - offsets[i]).astype(np.int64), i)
         i = j
+    trim()
 
 
-def shingle_hashes(hashes: np.ndarray, bounds: np.ndarray, k: int = 5) -> list[np.ndarray]:
-    """Each document's sorted distinct k-word shingles; with fewer words, the whole sequence as one; none without words."""
+def rolled_shingles(hashes: np.ndarray, k: int) -> np.ndarray:
+    """A hash of the k words that start at each word but the last k - 1 (those are of no use)."""
     multiplier = np.uint64(0xD6E8FEB86659FD93)
     rolled = hashes.copy()
     for i in range(1, k):
         rolled[: len(rolled) - i] = rolled[: len(rolled) - i] * multiplier + hashes[i:]
-    rolled = mix(rolled)
+    return mix(rolled)
+
+
+def shingle_sets(hashes: np.ndarray, bounds: np.ndarray, k: int = 5, weights: np.ndarray | None = None) -> list[tuple[np.ndarray, np.ndarray | None]]:
+    """Each document's sorted distinct k-word shingles; with fewer words, the whole sequence as one; none without words.
+
+    With ``weights`` of the words, also the sum of the weights of each shingle's words (the same for equal shingles).
+    """
+    rolled = rolled_shingles(hashes, k)
+    summed = None
+    if weights is not None:
+        total = np.append(0, np.cumsum(weights))
+        summed = total[k:] - total[:-k] if len(total) > k else np.zeros(0, total.dtype)
+    multiplier = 0xD6E8FEB86659FD93
     out = []
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         if b - a >= k:
-            x = np.sort(rolled[a : b - k + 1])
-            out.append(x[np.concatenate(([True], x[1:] != x[:-1]))])
+            x = rolled[a : b - k + 1]
+            if summed is None:
+                x = np.sort(x)
+                out.append((x[np.concatenate(([True], x[1:] != x[:-1]))], None))
+            else:
+                order = np.argsort(x)
+                x = x[order]
+                first = np.concatenate(([True], x[1:] != x[:-1]))
+                out.append((x[first], summed[a : b - k + 1][order[first]]))
         elif b > a:
-            x = b - a
-            for h in hashes[a:b].tolist():
-                x = (x * int(multiplier) + h) % 2**64
-            out.append(mix(np.array([x], np.uint64)))
+            h = b - a
+            for w in hashes[a:b].tolist():
+                h = (h * multiplier + w) % 2**64
+            out.append((mix(np.array([h], np.uint64)), None if summed is None else np.zeros(1, summed.dtype)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append((np.zeros(0, np.uint64), None if summed is None else np.zeros(0, summed.dtype)))
     return out
 
 

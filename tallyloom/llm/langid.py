@@ -148,6 +148,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
     repeat get the same answer.  ``n_letters`` counts ASCII letters and other lead bytes, which is enough for a bound.
     """
     keep = list(keep)
+    at = keep.index(text) if text in keep else len(keep)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("n_letters", T.LongType())])
@@ -156,7 +157,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
         m = shared.value
         names = np.array([*m.languages, UNDETERMINED], object)
         for batch in batches:
-            column = batch.column(len(keep))
+            column = batch.column(at)
             size = batch.num_rows
             best, score, letters = np.full(size, len(m.languages)), np.zeros(size), np.zeros(size, np.int64)
             for chunk in K.chunks(column, lower=True, size=K.CHUNK // 2):
@@ -179,7 +180,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
             out = [pa.array(names[best], pa.string()), pa.array(score), pa.array((score < CLEAR) & ~none), pa.array(letters, pa.int64())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=schema.names)
 
-    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
 
 
 def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> Column:

@@ -87,11 +87,12 @@ def with_rule_counts(docs: DataFrame, text: str = "text", keep: Sequence[str] =
     """``keep`` and the counts FEATURES (long) of every whole text; a null text has zeros."""
     keep = list(keep)
     schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField(f"_q_{c}", T.LongType()) for c in FEATURES])
-    source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], F.col(text).alias("_text"))
+    at = keep.index(text) if text in keep else len(keep)
+    source = docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("_text")]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [rule_counts(c) for c in K.chunks(batch.column(len(keep)))]
+            parts = [rule_counts(c) for c in K.chunks(batch.column(at))]
             counts = np.concatenate(parts, axis=1) if parts else np.zeros((len(FEATURES), 0), np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *[pa.array(x, pa.int64()) for x in counts]], names=[*keep, *[f"_q_{c}" for c in FEATURES]])
 

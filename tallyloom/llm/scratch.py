@@ -1,43 +1,16 @@
-"""Tables that cut lineage, kept where every executor can read them."""
+"""Stored intermediate tables, caches of Python workers and the size of Arrow batches."""
 
 from __future__ import annotations
 
-import os
-import tempfile
-import types
 import sys
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_written: list[str] = []
-
-
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-scratch")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
+import types
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet under the shared folder and read it back: later jobs restart from these files."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+from pyspark.sql import SparkSession
 
+from ..storage import release, stored
 
-def release(spark: SparkSession) -> None:
-    """Delete the tables this process wrote; call it when the results that read them are stored."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
-    while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+materialise = stored
+__all__ = ["bound_batches", "materialise", "release", "worker_cache"]
 
 
 def worker_cache() -> dict:
@@ -48,4 +21,4 @@ def worker_cache() -> dict:
 
 def bound_batches(spark: SparkSession) -> None:
     """Arrow batches by size rather than by rows, so that a Python worker's memory does not follow the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "8m")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from . import kernels as K
 from .scratch import worker_cache
 
-MAX_PIECES = 1_000_000
+MAX_PIECES = 400_000
 #: New pieces are encoded in lines of so many, with a control character between them that is always a token of its own.
 LINE = 256
 MARK = "\x01"
