@@ -188,6 +188,27 @@ def test_stages_by_brute_force(spark, sf):
     assert check_packing(pieces, [(r["doc_id"], r["text"]) for r in d.collect()]) > 0.9
 
 
+def test_stages_take_anything(spark, sf, tmp_path):
+    """Nulls in any column, empty and very long texts, repeated rows, and an empty table."""
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    clean = " ".join(f"word{i} is quite plain" for i in range(8))
+    rows = [
+        (1, clean, "en", "a", 10), (1, clean, "en", "a", 10), (2, None, None, None, None), (None, clean + " and more words here", None, None, None), (3, "", "en", "a", 0), (4, "123 456 !!", "en", None, 3),
+        (5, " ".join(f"word{i} is quite plain" for i in range(9, 10_000)), "en", "b", 1), (6, clean + " at last", "de", None, 10), (7, "der die das und ist nicht ein eine zwei drei vier fünf sechs", "de", "b", 5),
+    ]
+    for name, data in (("some", rows), ("none", [])):
+        docs = spark.createDataFrame(data, schema)
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, sf)
+            if i < 4:
+                assert out.columns == schema.names
+            out.write.parquet(f"{tmp_path}/{name}{i}")
+            docs = spark.read.parquet(f"{tmp_path}/{name}{i}")
+        pieces = docs.collect()
+        assert len({p["sequence_id"] for p in pieces}) == (0 if name == "none" else max(p["sequence_id"] for p in pieces) + 1)
+        assert {p["doc_id"] for p in pieces} <= {1, None, 5, 6, 7} and (name == "none" or {1, 5} <= {p["doc_id"] for p in pieces})
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert set(out.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"} and out.count() > 0
