@@ -5,10 +5,9 @@ by hash.  The estimate is the larger of what the frequencies of the shingle's wo
 that recur within tasks; both tables have a fixed bound.  If two sets r and s reach the threshold t, they
 share at least ceil(t * |r|) shingles of r, so for any l the first |r| - ceil(t * |r|) + l shingles of both share l or
 more.  Each document takes the l of least estimated cost: a longer prefix costs more postings, but candidates must then
-share more of it.  Towards partners that are not smaller a shorter prefix will do, and every shared shingle must stand at
-places that leave enough before and behind it.  A pair is a candidate if its prefixes share min(l_r, l_s) shingles and
-what lies behind the last of them can make up the overlap that sets of these sizes need.  Candidates are verified on
-whole sets.
+share more of it: what the prefixes do not share can only lie behind one of them, so a pair is a candidate if the shared
+part of its prefixes and the longer of its rests add up to the overlap that the threshold asks of sets of these sizes
+(at least min(l_r, l_s) shared shingles, and far more for sets of like size).  Candidates are verified on whole sets.
 
 Links need not be listed pair by pair, so no group is expanded into its pairs:
 
@@ -64,8 +63,8 @@ LINEAR = 32
 PIVOTS = 8
 
 
-LIST_COLUMNS = ["h", "salt", "doc_id", "n", "l", "i", "pivot", "pivot_n", "pivot_l", "pivot_i", "met"]
-LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64()]
+LIST_COLUMNS = ["h", "salt", "doc_id", "n", "l", "pivot", "pivot_n", "pivot_l", "met"]
+LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
 
 def required(n: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
@@ -79,16 +78,6 @@ def _words(column: pa.Array) -> Iterator[tuple[K.Chunk, np.ndarray, np.ndarray]]
         yield chunk, chunk.span_hash(chunk.prefix_hash(), starts, ends), bounds
 
 
-def overlap(sizes: np.ndarray | int, percent: int = PERCENT) -> np.ndarray | int:
-    """Shingles that two sets of so many together must share."""
-    return (percent * sizes + 99 + percent) // (100 + percent)
-
-
-def short(n: np.ndarray, m: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Length of a set's prefix towards partners that are not smaller."""
-    return n - overlap(2 * n, percent) + m
-
-
 def _sets(column: pa.Array, k: int) -> Iterator[tuple[int, np.ndarray]]:
     for chunk, hashes, bounds in _words(column):
         yield from zip(chunk.rows, [s for s, _ in K.shingle_sets(hashes, bounds, k)], strict=True)
@@ -251,7 +240,7 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
-    rows = ["h", "salt", "doc_id", "n", "l", "i"]
+    rows = ["h", "salt", "doc_id", "n", "l"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -270,10 +259,10 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
                     doc.append((ids[i], len(s), m, len(x)))
             if doc:
                 a = np.array(doc, np.int64)
-                cols = [np.concatenate(h).view(np.int64), np.concatenate(salt), *[np.repeat(a[:, j], a[:, 3]) for j in range(3)], np.concatenate([np.arange(k) for k in a[:, 3]])]
+                cols = [np.concatenate(h).view(np.int64), np.concatenate(salt), *[np.repeat(a[:, j], a[:, 3]) for j in range(3)]]
                 for i in range(0, len(cols[0]), 200_000):
                     part = [c[i : i + 200_000] for c in cols]
-                    yield _batch(rows, (part[0], pa.int64()), (part[1].astype(np.int32), pa.int32()), (part[2], pa.int64()), (part[3].astype(np.int32), pa.int32()), (part[4].astype(np.int32), pa.int32()), (part[5].astype(np.int32), pa.int32()))
+                    yield _batch(rows, (part[0], pa.int64()), (part[1].astype(np.int32), pa.int32()), (part[2], pa.int64()), (part[3].astype(np.int32), pa.int32()), (part[4].astype(np.int32), pa.int32()))
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shingle and size: split lists where sizes are too far apart to match, leave out those of one.
@@ -281,16 +270,12 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
         Lists of two become pairs, counted per batch; longer ones stay lists.  The last list of a batch waits for the next.
         """
 
-        def split(h, salt, doc, n, m, pos) -> Iterator[pa.RecordBatch]:
+        def split(h, salt, doc, n, m) -> Iterator[pa.RecordBatch]:
             new = np.ones(len(h), bool)
             new[1:] = (h[1:] != h[:-1]) | (salt[1:] != salt[:-1]) | ((100 * n[:-1].astype(np.int64) < percent * n[1:].astype(np.int64)) & (salt[1:] == 0))
             start = np.flatnonzero(new)
             size = np.diff(start, append=len(h))
             two = start[(size == 2) & (salt[start] == 0)]
-            if len(two):  # rows of a list are in order of size and document: the first is the smaller set
-                fits = pos[two] < short(n[two].astype(np.int64), m[two], percent)
-                fits &= np.minimum(pos[two], pos[two + 1]) + np.minimum(n[two] - pos[two], n[two + 1] - pos[two + 1]) >= overlap(n[two].astype(np.int64) + n[two + 1], percent)
-                two = two[fits]
             if len(two):
                 swap = doc[two] > doc[two + 1]
                 x, y = np.where(swap, two + 1, two), np.where(swap, two, two + 1)
@@ -298,21 +283,20 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
                 x, y = x[order], y[order]
                 at = np.flatnonzero(np.concatenate(([True], (doc[x][1:] != doc[x][:-1]) | (doc[y][1:] != doc[y][:-1]))))
                 met = np.diff(at, append=len(x))
-                last_x, last_y = np.maximum.reduceat(pos[x], at), np.maximum.reduceat(pos[y], at)
                 x, y = x[at], y[at]
                 zero = np.zeros(len(x), np.int64)
-                yield _batch(LIST_COLUMNS, *zip((zero, zero, doc[x], n[x], m[x], last_x, doc[y], n[y], m[y], last_y, met), LIST_TYPES, strict=True))
+                yield _batch(LIST_COLUMNS, *zip((zero, zero, doc[x], n[x], m[x], doc[y], n[y], m[y], met), LIST_TYPES, strict=True))
             long_ = (size > 2) | (salt[start] > 0)
             rows = np.repeat(long_, size)
             if rows.any():
                 first = np.repeat(start, size)[rows]
                 # split lists of one shingle get names of their own; salted ones keep the shingle's
                 name = np.where(salt[rows] > 0, h[rows], K.mix(h[rows].view(np.uint64) ^ K.mix(doc[first].view(np.uint64))).view(np.int64))
-                yield _batch(LIST_COLUMNS, *zip((name, salt[rows], doc[rows], n[rows], m[rows], pos[rows], doc[first], n[first], m[first], pos[first], np.zeros(len(name), np.int64)), LIST_TYPES, strict=True))
+                yield _batch(LIST_COLUMNS, *zip((name, salt[rows], doc[rows], n[rows], m[rows], doc[first], n[first], m[first], np.zeros(len(name), np.int64)), LIST_TYPES, strict=True))
 
         held = None
         for batch in batches:
-            part = [batch.column(i).to_numpy() for i in range(6)]
+            part = [batch.column(i).to_numpy() for i in range(5)]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part, strict=True)]
             h, salt = part[:2]
@@ -325,34 +309,23 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
         if held is not None and len(held[0]):
             yield from split(*held)
 
-    sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int, i int")
+    sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int")
     sorted_ = sent.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "doc_id")
-    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, i int, pivot long, pivot_n int, pivot_l int, pivot_i int, met long"), "postings")
+    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int, met long"), "postings")
 
 
 def _near(a: str, b: str, percent: int):
     return F.expr(f"100L * least({a}, {b}) >= {percent}L * greatest({a}, {b})")
 
 
-def _may(percent: int):
-    """What every shared prefix shingle of a linked pair satisfies: it stands in the short prefix of the smaller set, and
-    at places that leave enough before and behind for the overlap that the sizes ask for."""
-    short_ = lambda n, m: f"{n} - ({2 * percent}L * {n} + {99 + percent}) div {100 + percent} + {m}"
-    smaller = f"CASE WHEN na < nb OR (na = nb AND a < b) THEN ia < {short_('na', 'la')} ELSE ib < {short_('nb', 'lb')} END"
-    room = f"least(ia, ib) + least(na - ia, nb - ib) >= ({percent}L * (na + nb) + {99 + percent}) div {100 + percent}"
-    return F.expr(f"{smaller} AND {room}")
-
-
 def candidates(met: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b, met, and further columns) that may reach the threshold.
-
-    ``met`` has a row for each shared prefix shingle, or for some of them (met) with their last places ia and ib; further
-    columns are the same for all rows of a pair.  Behind the last shared place there is only so much left to share.
-    """
-    kept = [c for c in met.columns if c not in ("a", "b", "met", "ia", "ib")]
-    counted = met.groupBy("a", "b").agg(F.sum("met").alias("met"), F.max("ia").alias("ia"), F.max("ib").alias("ib"), *[F.min(c).alias(c) for c in kept])
-    behind = F.expr(f"met + least(na - ia, nb - ib) - 1 >= ({percent}L * (na + nb) + {99 + percent}) div {100 + percent}")
-    return counted.filter((F.col("met") >= F.least("la", "lb")) & behind).drop("na", "nb", "la", "lb", "ia", "ib")
+    """Pairs (a, b, met, and further columns) that may reach the threshold, of rows (a, b, na, nb, la, lb, met, ...), one
+    for each shared prefix shingle; further columns are the same for all rows of a pair."""
+    kept = [c for c in met.columns if c not in ("a", "b", "met")]
+    counted = met.groupBy("a", "b").agg(F.sum("met").alias("met"), *[F.min(c).alias(c) for c in kept])
+    rest = F.expr(f"greatest(({percent} * na + 99) div 100 - la, ({percent} * nb + 99) div 100 - lb)")
+    overlap = F.expr(f"({percent} * (na + nb) + {99 + percent}) div {100 + percent}")
+    return counted.filter((F.col("met") >= F.least("la", "lb")) & (F.col("met") + rest >= overlap)).drop("na", "nb", "la", "lb")
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
@@ -401,14 +374,14 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
     found = postings(docs, frequencies(summary), shingle, percent)
     lists, two = found.filter("met = 0"), found.filter("met > 0")
-    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n", "pivot_l", "pivot_i").distinct()
-    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n", "pivot_l", "pivot_i")).alias("top"))
-    ends = ["a", "b", "na", "nb", "la", "lb", "ia", "ib", "met"]
-    named = lambda df, columns, *more: df.select(*[(F.lit(1) if c is None else F.col(c)).cast("long" if x in ("a", "b", "met") else "int").alias(x) for c, x in zip(columns, ends, strict=True)], *more).filter("a <> b").filter(_near("na", "nb", percent)).filter(_may(percent))
-    across = named(heads.join(head, "h"), ["top.pivot", "pivot", "top.pivot_n", "pivot_n", "top.pivot_l", "pivot_l", "top.pivot_i", "pivot_i", None])
-    first = named(lists, ["pivot", "doc_id", "pivot_n", "n", "pivot_l", "l", "pivot_i", "i", None])
-    pairs = two.select(*[F.col(c).alias(x) for c, x in zip(["doc_id", "pivot", "n", "pivot_n", "l", "pivot_l", "i", "pivot_i", "met"], ends, strict=True)])
-    sorted_ends = lambda df, *more: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("nb", "na"), ("la", "lb"), ("lb", "la"), ("ia", "ib"), ("ib", "ia"))], "met", *more)
+    heads = lists.filter("salt > 0").select("h", "pivot", "pivot_n", "pivot_l").distinct()
+    head = heads.groupBy("h").agg(F.min(F.struct("pivot", "pivot_n", "pivot_l")).alias("top"))
+    ends = ["a", "b", "na", "nb", "la", "lb", "met"]
+    named = lambda df, columns, *more: df.select(*[(F.lit(1) if c is None else F.col(c)).cast("long" if x in ("a", "b", "met") else "int").alias(x) for c, x in zip(columns, ends, strict=True)], *more).filter("a <> b").filter(_near("na", "nb", percent))
+    across = named(heads.join(head, "h"), ["top.pivot", "pivot", "top.pivot_n", "pivot_n", "top.pivot_l", "pivot_l", None])
+    first = named(lists, ["pivot", "doc_id", "pivot_n", "n", "pivot_l", "l", None])
+    pairs = named(two, ["doc_id", "pivot", "n", "pivot_n", "l", "pivot_l", "met"])
+    sorted_ends = lambda df, *more: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("nb", "na"), ("la", "lb"), ("lb", "la"))], "met", *more)
     stars = materialise(candidates(sorted_ends(first.union(across)).union(pairs), percent), "stars")
     links = materialise(equal.union(verify(docs, stars, shingle, percent)), "links")
     known = connected_components(links)
@@ -416,7 +389,7 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     # documents of different components that meet in a list
     before = None
     while True:
-        placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("h", "doc_id", "n", "l", "i", "c")
+        placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("h", "doc_id", "n", "l", "c")
         parts = placed.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"))
         mixed = parts.filter("parts > 1").select("h", "rows", F.expr("(rows * rows - squares) div 2").alias("pairs"))
         placed = materialise(placed.join(mixed, "h"), "mixed")
@@ -437,8 +410,8 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         if more.isEmpty():
             break
         known = connected_components(known.union(more))
-    a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "i", "c")]) for x in "ab")
-    met = named(a.join(b, "h").filter("ca < cb"), ["doc_ida", "doc_idb", "na", "nb", "la", "lb", "ia", "ib", None], "ca", "cb")
+    a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c")]) for x in "ab")
+    met = named(a.join(b, "h").filter("ca < cb"), ["doc_ida", "doc_idb", "na", "nb", "la", "lb", None], "ca", "cb")
     labels = known.select("node", "component")
     apart = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
     apart = apart.select(*ends, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
