@@ -138,7 +138,7 @@ def test_guards(spark):
 
 
 def test_chunks_and_contexts(spark):
-    text = "First sentence here. " * 80
+    text = "".join(f"Sentence number {i} is here. " for i in range(80))
     pieces = search.chunk_natural(text, 300, 40)
     assert all(len(p) <= 300 for p in pieces) and all(p.endswith(".") for p in pieces) and search.chunk_natural("  ") == [] and search.chunk_natural("ab") == ["ab"]
     joined = pieces[0]
