@@ -158,14 +158,24 @@ def _bins(value: Column, width: int) -> Column:
     return F.array(F.floor(value / width) * 2, F.floor(value / width + 0.5) * 2 - 1)
 
 
+def _content() -> Column:
+    return F.sha2(F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.hex("pixels")), 256)
+
+
+def image_classes(images: DataFrame) -> DataFrame:
+    """(image, class): the smallest id of the images equal to each image; images with null pixels have no class."""
+    each = images.filter("pixels IS NOT NULL").select("image", _content().alias("_content")).distinct()
+    least = each.groupBy("_content").agg(F.min("image").alias("class"))
+    return each.join(least, "_content").select("image", "class")
+
+
 def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """(query, image, inliers, turn, level_step): classes of images that hold a copy of a query's content.
 
     Both tables have rows (image, height, width, pixels); ``image`` of the result is the smallest id of its class of
     equal images.  Ids that repeat are searched together.  An empty table on either side gives no rows.
     """
-    content = F.sha2(F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.hex("pixels")), 256)
-    distinct = images.filter("pixels IS NOT NULL").groupBy(content.alias("_content")).agg(F.min(F.struct("image", "height", "width", "pixels")).alias("x")).select("x.*")
+    distinct = images.filter("pixels IS NOT NULL").groupBy(_content().alias("_content")).agg(F.min(F.struct("image", "height", "width", "pixels")).alias("x")).select("x.*")
     q = _tables(materialise(descriptors(queries), "corners"), "q")
     wanted = bitmaps.build(q.select(_place(F.col("key"), F.col("table")).alias("at")), "at", MAP_BITS)
     d = _tables(descriptors(distinct, wanted), "d")
@@ -232,13 +242,13 @@ def edited(images: DataFrame, crop: int = 14, gain: float = 0.8, lift: float = 2
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: edited copies of the images whose id is divisible by 50; index: every row's image.
 
-    A row per query: its best match (most inliers, then the smallest id) and how many classes of images match, as groups
-    of near copies grow with the table.
+    A row (query, image, class, inliers, turn, level_step) for every class of equal images that matches a query, ``image``
+    and ``class`` both its smallest id, or one with null ``image`` for a query without a match; and, with null ``query``, a
+    row (image, class) for every other member of a class.  A query's copies are the members of the classes it matches.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     asked = vectors.filter("vec_id % 50 = 0")
-    found = image_copies(edited(recurrence_images(asked)), recurrence_images(vectors))
-    best = found.groupBy("query").agg(F.max(F.struct("inliers", (-F.col("image")).alias("minus"), "turn", "level_step")).alias("m"), F.count("*").alias("n_images"))
-    best = best.select("query", (-F.col("m.minus")).alias("image"), "m.inliers", "m.turn", "m.level_step", "n_images")
-    rows = asked.select(F.col("vec_id").alias("query")).distinct().join(best, "query", "left")
-    return rows.withColumn("n_images", F.coalesce("n_images", F.lit(0)))
+    images = recurrence_images(vectors)
+    found = image_copies(edited(recurrence_images(asked)), images)
+    rows = asked.select(F.col("vec_id").alias("query")).distinct().join(found, "query", "left").select("query", "image", F.col("image").alias("class"), "inliers", "turn", "level_step")
+    return rows.unionByName(image_classes(images).filter(F.col("image") != F.col("class")), allowMissingColumns=True)

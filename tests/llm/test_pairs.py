@@ -140,3 +140,14 @@ def test_recall_of_edited_images(spark, sf):
     found = {(r["query"], r["image"]) for r in images.op3_image_copies(spark, sf).collect()}
     n = spark.read.parquet(f"{sf}/embeddings.parquet").filter("vec_id % 50 = 0").count()
     assert sum(q == i for q, i in found) >= 0.9 * n
+
+
+def test_rows_hold_every_match_and_every_member(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    a, b = (np.cumsum(rng.normal(size=64)) for _ in range(2))
+    near = a + np.where(np.arange(64) == 60, 0.05, 0)
+    rows = [(50, a.tolist()), (51, a.tolist()), (52, near.tolist()), (53, near.tolist()), (54, b.tolist()), (100, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = images.op3_image_copies(spark, str(tmp_path)).collect()
+    assert {(r["query"], r["image"]) for r in got if r["query"] is not None} == {(50, 50), (50, 52), (100, None)}
+    assert {(r["image"], r["class"]) for r in got if r["query"] is None} == {(51, 50), (53, 52)}
