@@ -1,9 +1,11 @@
 """Copies of images by local descriptors (operator 3).
 
 Corners are found at several scales (Harris response, local maxima), turned upright by the intensity centroid of their
-patch and described by 128 binary brightness tests, as four 32-bit words.  Two descriptors can meet if one word is
-equal, so the words are the keys of four hash tables: distances up to 3 are always found, larger ones unless every word
-differs.  The queries' keys set bits in a map of fixed size, so that only descriptors that may meet one are shuffled.  Matches vote for a rotation, a scale step and a translation, in bins that overlap by half; images whose
+patch and described by 128 binary brightness tests, as four 32-bit words.  Two descriptors can meet if one of their eight
+16-bit halves differs in at most one bit: the halves are the keys of eight hash tables, and a query asks each for its own
+key and the 16 beside it.  Distances up to 15 are always found; of pairs at distance 20, random flips leave 92 %.  The
+queries' keys are a map of bits, so that only descriptors that may meet one are shuffled.  Matches vote for a rotation, a
+scale step and a translation, in bins that overlap by half; images whose
 matches agree on one placement are copies, also when cropped, brightened or re-encoded.
 
 Equal images are one class first, so a group of copies is searched once.  Queries are a stated set of images, against
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bitmaps
@@ -61,8 +63,11 @@ def _halve(x: np.ndarray) -> np.ndarray:
     return x[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
 
 
-#: Bits of the map of the queries' keys (16 MB).
-MAP_BITS = 1 << 27
+#: Hash tables, bits of a key, and the bits of the map of the queries' keys: one for each key of each table.
+TABLES, KEY_BITS = 8, 16
+MAP_BITS = TABLES << KEY_BITS
+#: What a query's key is changed by: no bit or one.
+PROBES = (0, *[1 << b for b in range(KEY_BITS)])
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -103,13 +108,10 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def _places(words: np.ndarray, table: int) -> np.ndarray:
-    """Where a table's keys stand in the map of bits; ``_place`` is the same for a column."""
-    return ((words ^ (words >> 7) ^ (words >> 17)) + table * 7919) & (MAP_BITS - 1)
-
-
-def _place(word: Column, table: Column) -> Column:
-    return (word.bitwiseXOR(F.shiftright(word, 7)).bitwiseXOR(F.shiftright(word, 17)) + table * 7919).bitwiseAND(MAP_BITS - 1)
+def _key(word: Column | np.ndarray, table: int) -> Column | np.ndarray:
+    """A table's key: half of word ``table // 2`` (the first argument)."""
+    shift, mask = KEY_BITS * (table % 2), (1 << KEY_BITS) - 1
+    return (word >> shift) & mask if isinstance(word, np.ndarray) else F.shiftright(word, shift).bitwiseAND(mask)
 
 
 def descriptors(images: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
@@ -130,9 +132,9 @@ def descriptors(images: DataFrame, wanted: np.ndarray | None = None) -> DataFram
                 if raw is None or heights[i] is None or widths[i] is None or len(raw) != heights[i] * widths[i] or not raw:
                     continue
                 found = describe(np.frombuffer(raw, np.uint8).reshape(heights[i], widths[i]))
-                found = (*found, np.arange(len(found[0])), np.full(len(found[0]), 15))
+                found = (*found, np.arange(len(found[0])), np.full(len(found[0]), (1 << TABLES) - 1))
                 if shared.value is not None:
-                    hits = sum(bitmaps.test(shared.value, _places(found[4][:, k], k)).astype(np.int64) << k for k in range(4))
+                    hits = sum(bitmaps.test(shared.value, (k << KEY_BITS) + _key(found[4][:, k // 2], k)).astype(np.int64) << k for k in range(TABLES))
                     found = tuple(x[hits > 0] for x in (*found[:6], hits))
                 if len(found[0]):
                     rows.append((i, len(found[0])))
@@ -146,11 +148,23 @@ def descriptors(images: DataFrame, wanted: np.ndarray | None = None) -> DataFram
     return images.select("image", "height", "width", "pixels").mapInArrow(run, f"image {kind}, corner int, x int, y int, level int, angle int, w0 long, w1 long, w2 long, w3 long, tables int")
 
 
-def _tables(d: DataFrame, side: str) -> DataFrame:
+def _tables(d: DataFrame, side: str, probes: tuple[int, ...] = (0,)) -> DataFrame:
     words = [f"w{k}" for k in range(4)]
-    keys = F.explode(F.array_compact(F.array(*[F.when(F.col("tables").bitwiseAND(1 << k) != 0, F.struct(F.lit(k).alias("table"), F.col(w).alias("key"))) for k, w in enumerate(words)])))
+    keys = F.explode(F.array_compact(F.array(*[F.when(F.col("tables").bitwiseAND(1 << k) != 0, F.struct(F.lit(k).alias("table"), _key(F.col(f"w{k // 2}"), k).alias("key"))) for k in range(TABLES)])))
     rows = d.select(*[F.col(c).alias(f"{side}_{c}") for c in ("image", "corner", "x", "y", "level", "angle", *words)], keys.alias("_k"))
-    return rows.select("*", "_k.table", "_k.key").drop("_k")
+    rows = rows.select("*", "_k.table", "_k.key").drop("_k")
+    return rows.withColumn("key", F.explode(F.transform(F.array(*[F.lit(p) for p in probes]), lambda p: F.col("key").bitwiseXOR(p)))) if len(probes) > 1 else rows
+
+
+def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
+    """The pairs of descriptors that meet in a table and differ in MAX_DISTANCE bits or less, each once (q_*, d_*, apart)."""
+    q = _tables(materialise(descriptors(queries), "corners"), "q", PROBES)
+    wanted = bitmaps.build(q.select((F.col("key") + F.col("table") * (1 << KEY_BITS)).alias("at")).distinct(), "at", MAP_BITS)
+    d = _tables(descriptors(images, wanted), "d")
+    apart = [F.col(f"q_w{k}").bitwiseXOR(F.col(f"d_w{k}")) for k in range(4)]
+    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
+    first = F.coalesce(*[F.when(F.bit_count(_key(apart[k // 2], k)) <= 1, F.lit(k)) for k in range(TABLES)])
+    return q.join(d, ["table", "key"]).filter((distance <= MAX_DISTANCE) & (F.col("table") == first)).drop("table", "key").withColumn("apart", distance)
 
 
 def _bins(value: Column, width: int) -> Column:
@@ -176,12 +190,11 @@ def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_I
     equal images.  Ids that repeat are searched together.  An empty table on either side gives no rows.
     """
     distinct = images.filter("pixels IS NOT NULL").groupBy(_content().alias("_content")).agg(F.min(F.struct("image", "height", "width", "pixels")).alias("x")).select("x.*")
-    q = _tables(materialise(descriptors(queries), "corners"), "q")
-    wanted = bitmaps.build(q.select(_place(F.col("key"), F.col("table")).alias("at")), "at", MAP_BITS)
-    d = _tables(descriptors(distinct, wanted), "d")
-    distance = sum((F.bit_count(F.col(f"q_w{k}").bitwiseXOR(F.col(f"d_w{k}"))) for k in range(1, 4)), F.bit_count(F.col("q_w0").bitwiseXOR(F.col("d_w0"))))
-    met = q.join(d, ["table", "key"]).filter(distance <= MAX_DISTANCE)
-    pairs = met.select("q_image", "d_image", "q_corner", "d_corner", "q_x", "q_y", "d_x", "d_y", F.pmod(F.col("d_angle") - F.col("q_angle"), F.lit(ANGLES)).alias("turn"), (F.col("d_level") - F.col("q_level")).alias("step")).distinct()
+    met = matches(queries, distinct)
+    for side in "qd":  # a corner votes with its nearest corners of an image, ties included
+        met = met.withColumn(f"{side}_least", F.min("apart").over(Window.partitionBy("q_image", "d_image", f"{side}_corner")))
+    met = met.filter((F.col("apart") == F.col("q_least")) & (F.col("apart") == F.col("d_least")))
+    pairs = met.select("q_image", "d_image", "q_corner", "d_corner", "q_x", "q_y", "d_x", "d_y", F.pmod(F.col("d_angle") - F.col("q_angle"), F.lit(ANGLES)).alias("turn"), (F.col("d_level") - F.col("q_level")).alias("step"))
     angle = F.col("turn") * F.lit(2 * math.pi / ANGLES)
     size = F.pow(F.lit(2.0), F.col("step"))
     tx = F.col("d_x") - size * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))

@@ -151,3 +151,49 @@ def test_rows_hold_every_match_and_every_member(spark, tmp_path):
     got = images.op3_image_copies(spark, str(tmp_path)).collect()
     assert {(r["query"], r["image"]) for r in got if r["query"] is not None} == {(50, 50), (50, 52), (100, None)}
     assert {(r["image"], r["class"]) for r in got if r["query"] is None} == {(51, 50), (53, 52)}
+
+
+def scene(seed, size=(160, 160)):
+    rng = np.random.default_rng(seed)
+    x = sum(np.kron(rng.normal(0, 1, (size[0] // b + 1, size[1] // b + 1)), np.ones((b, b)))[: size[0], : size[1]] * b for b in (5, 12, 31))
+    return np.clip(np.round(128 + 2.5 * x), 0, 255).astype(np.uint8)
+
+
+def resized(x, factor):
+    at = [np.clip((np.arange(round(n * factor)) + 0.5) / factor - 0.5, 0, n - 1) for n in x.shape]
+    lo = [np.minimum(a.astype(int), n - 2) for a, n in zip(at, x.shape, strict=True)]
+    v, u = (at[0] - lo[0])[:, None], (at[1] - lo[1])[None]
+    take = lambda i, j: x[lo[0] + i][:, lo[1] + j].astype(float)
+    return np.round((1 - v) * ((1 - u) * take(0, 0) + u * take(0, 1)) + v * ((1 - u) * take(1, 0) + u * take(1, 1))).astype(np.uint8)
+
+
+def encoded(x, step=40):
+    """Cosine transform of blocks of 8, rounded to ``step``, and back."""
+    h, w = (n // 8 * 8 for n in x.shape)
+    k, n = np.mgrid[:8, :8]
+    c = np.cos(np.pi * k * (2 * n + 1) / 16) * np.where(k == 0, np.sqrt(1 / 8), 0.5)
+    blocks = x[:h, :w].astype(float).reshape(h // 8, 8, w // 8, 8).transpose(0, 2, 1, 3)
+    back = c.T @ (np.round(c @ blocks @ c.T / step) * step) @ c
+    return np.clip(np.round(back.transpose(0, 2, 1, 3).reshape(h, w)), 0, 255).astype(np.uint8)
+
+
+def noisy(x, seed=1, sigma=14):
+    return np.clip(np.round(x + np.random.default_rng(seed).normal(0, sigma, x.shape)), 0, 255).astype(np.uint8)
+
+
+def table_of(spark, d):
+    return spark.createDataFrame([(i, x.shape[0], x.shape[1], bytearray(x.tobytes())) for i, x in d.items()], "image long, height int, width int, pixels binary")
+
+
+def test_tables_meet_what_brute_force_finds(spark):
+    base = {i: scene(i) for i in range(8)}
+    edits = {100 * k + i: f(x) for i, x in base.items() for k, f in enumerate((noisy, encoded, lambda x: resized(x, 0.9), lambda x: x[50:130, 50:130]), 1)}
+    got = {(r["q_image"], r["q_corner"], r["d_image"], r["d_corner"]) for r in images.matches(table_of(spark, edits), table_of(spark, base)).collect()}
+    q, d = ([(i, k, w) for i, x in t.items() for k, w in enumerate(images.describe(x)[4])] for t in (edits, base))
+    a, b = (np.array([w for _, _, w in t]) for t in (q, d))
+    apart = sum(np.bitwise_count(a[:, None, k] ^ b[None, :, k]).astype(int) for k in range(4))
+    want = {(*q[i][:2], *d[j][:2]): apart[i, j] for i, j in zip(*np.nonzero(apart <= images.MAX_DISTANCE), strict=True)}
+    assert got <= set(want) and {p for p, n in want.items() if n <= 15} <= got
+    for k in range(1, 5):
+        mine = [p for p in want if p[0] // 100 == k]
+        assert len(mine) > 50 and sum(p in got for p in mine) >= 0.9 * len(mine)
