@@ -25,9 +25,10 @@ from pyspark.sql import functions as F
 from . import bitmaps
 from .scratch import materialise
 
-SCALES = (1.0, 0.5)
-#: Corners kept at each scale, the strongest first, and the least response relative to the image's strongest.
-CORNERS = 48
+#: Scales half an octave apart.
+SCALES = (1.0, 0.5**0.5, 0.5)
+#: The least response of a corner relative to the strongest within one or two AREA (pixels) of it.
+AREA = 32
 RESPONSE = 0.01
 RADIUS = 11
 TESTS = 128
@@ -58,9 +59,28 @@ def _box(x: np.ndarray, r: int) -> np.ndarray:
     return x
 
 
-def _halve(x: np.ndarray) -> np.ndarray:
-    h, w = x.shape[0] // 2 * 2, x.shape[1] // 2 * 2
-    return x[:h, :w].reshape(h // 2, 2, w // 2, 2).mean((1, 3))
+def _shrink(x: np.ndarray, scale: float) -> np.ndarray:
+    """Resampled by linear interpolation; at a half that is the mean of four."""
+    if scale == 1:
+        return x
+    for axis in (0, 1):
+        n = x.shape[axis]
+        at = np.clip((np.arange(int(n * scale)) + 0.5) / scale - 0.5, 0, n - 1)
+        lo = np.minimum(at.astype(int), max(n - 2, 0))
+        part = (at - lo).reshape((-1, 1) if axis == 0 else (1, -1))
+        x = np.take(x, lo, axis=axis) * (1 - part) + np.take(x, np.minimum(lo + 1, n - 1), axis=axis) * part
+    return x
+
+
+def _strongest_near(x: np.ndarray) -> np.ndarray:
+    """For each place the maximum over its square of AREA and the eight squares around."""
+    h, w = x.shape
+    tall, wide = -(-h // AREA), -(-w // AREA)
+    cells = np.full((tall * AREA, wide * AREA), -np.inf)
+    cells[:h, :w] = x
+    cells = np.pad(cells.reshape(tall, AREA, wide, AREA).max((1, 3)), 1, constant_values=-np.inf)
+    cells = np.max([cells[i : i + tall, j : j + wide] for i in range(3) for j in range(3)], axis=0)
+    return np.repeat(np.repeat(cells, AREA, 0), AREA, 1)[:h, :w]
 
 
 #: Hash tables, bits of a key, and the bits of the map of the queries' keys: one for each key of each table.
@@ -73,10 +93,8 @@ PROBES = (0, *[1 << b for b in range(KEY_BITS)])
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """x, y (in the image's pixels), scale index, angle index and four 32-bit words of each corner."""
     out = []
-    x = image.astype(np.float64)
-    for level in range(len(SCALES)):
-        if level:
-            x = _halve(x)
+    for level, scale in enumerate(SCALES):
+        x = _shrink(image.astype(np.float64), scale)
         if min(x.shape) <= 2 * RADIUS + 2:
             break
         smooth = _box(x, 1)
@@ -87,11 +105,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         for axis in (0, 1):
             wide = np.pad(peak, [(3, 3) if i == axis else (0, 0) for i in (0, 1)], constant_values=-np.inf)
             peak = np.max([np.take(wide, np.arange(x.shape[axis]) + k, axis=axis) for k in range(7)], axis=0)
-        top = (response >= peak) & (response > RESPONSE * max(response.max(), 1e-9))
+        top = (response >= peak) & (response > RESPONSE * np.maximum(_strongest_near(response), 1e-9))
         top[:RADIUS], top[-RADIUS:], top[:, :RADIUS], top[:, -RADIUS:] = False, False, False, False
         ys, xs = np.nonzero(top)
-        order = np.argsort(-response[ys, xs], kind="stable")[:CORNERS]
-        ys, xs = ys[order], xs[order]
         if not len(ys):
             continue
         patch = x[ys[:, None, None] + _dy, xs[:, None, None] + _dx] * _disc
@@ -101,8 +117,8 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         p = smooth[ys[:, None, None] + offsets[..., 1], xs[:, None, None] + offsets[..., 0]]
         bits = p[:, :, 0] < p[:, :, 1]
         words = np.packbits(bits, axis=1).view(">u4").astype(np.int64)
-        factor = 2**level
-        out.append((xs * factor, ys * factor, np.full(len(xs), level), angle, words))
+        px, py = (np.round((z + 0.5) / scale - 0.5).astype(np.int64) for z in (xs, ys))
+        out.append((px, py, np.full(len(xs), level), angle, words))
     if not out:
         return (*[np.zeros(0, np.int64)] * 4, np.zeros((0, 4), np.int64))
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
@@ -196,7 +212,7 @@ def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_I
     met = met.filter((F.col("apart") == F.col("q_least")) & (F.col("apart") == F.col("d_least")))
     pairs = met.select("q_image", "d_image", "q_corner", "d_corner", "q_x", "q_y", "d_x", "d_y", F.pmod(F.col("d_angle") - F.col("q_angle"), F.lit(ANGLES)).alias("turn"), (F.col("d_level") - F.col("q_level")).alias("step"))
     angle = F.col("turn") * F.lit(2 * math.pi / ANGLES)
-    size = F.pow(F.lit(2.0), F.col("step"))
+    size = F.pow(F.lit(SCALES[0] / SCALES[1]), F.col("step"))
     tx = F.col("d_x") - size * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))
     ty = F.col("d_y") - size * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))
     votes = pairs.withColumn("bx", F.explode(_bins(tx, SHIFT_BIN))).withColumn("by", F.explode(_bins(ty, SHIFT_BIN))).withColumn("bt", F.explode(_bins(F.col("turn"), TURN_BIN)))

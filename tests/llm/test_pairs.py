@@ -197,3 +197,15 @@ def test_tables_meet_what_brute_force_finds(spark):
     for k in range(1, 5):
         mine = [p for p in want if p[0] // 100 == k]
         assert len(mine) > 50 and sum(p in got for p in mine) >= 0.9 * len(mine)
+
+
+def test_small_crops_resized_and_faint_copies_are_found(spark):
+    base = {i: scene(i, (320, 320)) for i in range(6)}
+    base[6] = np.where(np.arange(320)[:, None] < 160, base[0], np.round(110 + 0.1 * (scene(77, (320, 320)) - 110.0))).astype(np.uint8)
+    edits = {100 * k + i: f(base[i]) for i in range(6) for k, f in enumerate((lambda x: x[120:200, 90:170], lambda x: resized(x, 0.7), lambda x: resized(x, 0.8), encoded, noisy), 1)}
+    edits[906] = base[6][180:300, 60:260]
+    found = {(r["query"], r["image"]) for r in images.image_copies(table_of(spark, edits), table_of(spark, base)).collect()}
+    for k in range(1, 6):
+        assert sum((100 * k + i, i) in found for i in range(6)) >= 0.9 * 6, k
+    assert (906, 6) in found
+    assert sum(q % 100 != i and (q % 100, i) not in {(0, 6), (6, 0)} for q, i in found) <= 0.1 * len(found)
