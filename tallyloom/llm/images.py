@@ -200,7 +200,7 @@ def image_classes(images: DataFrame) -> DataFrame:
 
 
 def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
-    """(query, image, inliers, turn, level_step): classes of images that hold a copy of a query's content.
+    """(query, image, inliers, turn, level_step): classes of images that hold a copy of a query's content.  A level step is half an octave.
 
     Both tables have rows (image, height, width, pixels); ``image`` of the result is the smallest id of its class of
     equal images.  Ids that repeat are searched together.  An empty table on either side gives no rows.
