@@ -119,12 +119,24 @@ def to_number(c: Column) -> Column:
     return F.when(~s.isin("", "-", "."), _try("double", s))
 
 
+def dot(a: Column, b: Column) -> Column:
+    """Sum of the products of two arrays of one length; null if their lengths differ."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def norm(v: Column) -> Column:
+    return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
+def unit(v: Column) -> Column:
+    """A vector divided by its norm; null where the norm is 0 or unknown, so that its cosine counts as 0."""
+    return F.get(F.transform(F.array(norm(v)), lambda n: F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))), F.lit(0))
+
+
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity of two arrays of one length; 0 where a norm is 0."""
-    dot = F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     size = norm(a) * norm(b)
-    return F.when(size > 0, dot / size).otherwise(F.lit(0.0))
+    return F.when(size > 0, dot(a, b) / size).otherwise(F.lit(0.0))
 
 
 def plausible_amount(c: Column, least: float = 50.0) -> Column:

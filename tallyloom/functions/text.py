@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -119,6 +119,11 @@ def collapse_lines(c: Column) -> Column:
     return F.array_join(F.transform(F.split(text_of(c), "\n"), squeeze), "\n")
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once a row, however often ``use`` mentions it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def useful_length(c: Column) -> Column:
     """Length with runs of spaces counted as one."""
     return F.length(F.regexp_replace(text_of(c), f"[{SPACE}]+", " "))
@@ -235,11 +240,14 @@ def coerce_option(c: Column, options: Sequence[str]) -> Column:
 
 def fixed_chunks(c: Column, size: int = 800, overlap: int = 100) -> Column:
     """Windows of a squeezed text: array of (start, text), each ``size`` long, ``overlap`` shared with the next."""
-    s = squeeze(text_of(c))
     step = size - overlap
-    count = F.greatest(F.lit(1), F.ceil((F.length(s) - overlap) / F.lit(float(step))).cast("int"))
-    windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * step).alias("start"), F.substr(s, i * step + 1, F.lit(size)).alias("text")))
-    return F.when(F.length(s) == 0, F.array().cast("array<struct<start:int,text:string>>")).otherwise(windows)
+
+    def cut(s: Column) -> Column:
+        count = F.greatest(F.lit(1), F.ceil((F.length(s) - overlap) / F.lit(float(step))).cast("int"))
+        windows = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.struct((i * step).alias("start"), F.substr(s, i * step + 1, F.lit(size)).alias("text")))
+        return F.when(F.length(s) == 0, F.array().cast("array<struct<start:int,text:string>>")).otherwise(windows)
+
+    return bound(squeeze(text_of(c)), cut)
 
 
 def document_year(name: Column, text: Column) -> Column:

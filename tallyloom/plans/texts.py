@@ -111,7 +111,7 @@ def eval_score(spark, d):
 
 
 def numbered_rows(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", "source")
+    docs = table(spark, d, "documents").select("doc_id", "source", "lang", F.md5("text").alias("text_md5"))
     return with_row_id(docs, "source", "doc_id")
 
 
@@ -159,5 +159,5 @@ ORACLES = {
       j AS (SELECT l.quality::VARCHAR AS e, nullif(a.v, '') AS v FROM labels l LEFT JOIN a USING (doc_id)),
       c AS (SELECT count(*) AS expected, count(*) FILTER (v = e) AS exact, 0::BIGINT AS normalized, count(*) FILTER (v <> e AND v <> '9') AS mismatch, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (v = '9') AS forbidden FROM j)
       SELECT *, (SELECT count(*) FROM a WHERE v <> '' AND doc_id NOT IN (SELECT doc_id FROM labels)) AS extra, round(exact / expected, 9) AS exact_rate, round(exact / expected, 9) AS match_rate, round((mismatch + forbidden) / (expected - missing), 9) AS hallucination_rate FROM c""",
-    "numbered_rows": "SELECT doc_id, source, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents",
+    "numbered_rows": "SELECT doc_id, source, lang, md5(text) AS text_md5, row_number() OVER (ORDER BY source, doc_id) - 1 AS row_id FROM documents",
 }

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from itertools import accumulate
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import stored
+
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     """A Parquet table; filters and column choices reach its scan."""
@@ -35,16 +39,19 @@ def first_existing(names: list[str], entries: list[tuple[str, bool]]) -> str | N
 def with_row_id(df: DataFrame, *order: str | Column) -> DataFrame:
     """Adds ``row_id`` 0, 1, 2, ... in the given order.
 
-    Ranks are taken within ranges of the order and shifted by the ranges' counts, so no task sorts the whole table.
+    Rows are laid out in ranges of the order and stored once, each with its place: a second pass over the order would
+    sample other ranges.  The counts of the stored ranges shift the places, so no task sorts the whole table.  Equal
+    rows keep the places they were stored with.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-    numbered = ranged.withColumn("_at", F.monotonically_increasing_id())
+    numbered = stored(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranged")
     part, local = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = numbered.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
-    before = counts.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.withColumn("_part", part).withColumn("_local", local).join(F.broadcast(before), "_part").withColumn("row_id", F.col("_before") + F.col("_local")).drop("_at", "_part", "_local", "_before")
+    counts = sorted((r["part"], r["n"]) for r in numbered.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect())
+    before = dict(zip([p for p, _ in counts], accumulate((n for _, n in counts), initial=0), strict=False))
+    shift = spark.createDataFrame(list(before.items()), "_part long, _before long")
+    return numbered.withColumn("_part", part).join(F.broadcast(shift), "_part").withColumn("row_id", F.col("_before") + local).select(*df.columns, "row_id")
 
 
 def cache_lookup(wanted: DataFrame, cache: DataFrame, key: str, version: int, version_column: str = "version") -> tuple[DataFrame, DataFrame]:

@@ -3,18 +3,27 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Paths of the tables that this process wrote and has not deleted, and the frames that read them.
 _written: list[str] = []
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; a local one only where none is set (tests)."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where none is set, local mode takes a temporary one; a cluster has to name one, as executors share no local disk.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "tallyloom-scratch")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -26,13 +35,26 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _paths[table] = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete stored tables that no later plan reads; frames that are not stored tables are left alone."""
+    for table in tables:
+        path = _paths.pop(table, None) if table is not None else None
+        if path in _written:
+            _written.remove(path)
+            _delete(table.sparkSession, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the tables this process wrote; call it when the results that read them are stored."""
-    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(hadoop).delete(path, True)
+        _delete(spark, _written.pop())

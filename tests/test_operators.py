@@ -1,8 +1,11 @@
 """Premiums, records, jobs, paths, conflicts, search, documents and scores on literal rows."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom import storage
 from tallyloom.operators import documents, jobs, paths, premium, records, resolve, scoring, search
 from tallyloom.sources import sinks, tables
 
@@ -199,6 +202,32 @@ def test_scores(spark):
     assert {tuple(r) for r in scoring.unique_key_match(names, known).collect()} == {("decorrenza", "decorrenzo")}
 
 
+def test_row_ids_number_all_rows_in_order(spark):
+    n = 2_000_000
+    rows = spark.range(0, n, 1, 16).select((F.col("id") * 7919 % n).alias("v"), F.md5(F.col("id").cast("string")).alias("payload"))
+    numbered = tables.with_row_id(rows, "v")
+    assert numbered.columns == ["v", "payload", "row_id"]
+    row = numbered.agg(F.count("*"), F.count_if(F.col("v") != F.col("row_id")), F.countDistinct("row_id"), F.max("row_id")).first()
+    assert tuple(row) == (n, 0, n, n - 1)
+
+
+def test_stored_tables_can_be_discarded_one_by_one(spark):
+    a, b = (storage.stored(spark.range(3), name) for name in "ab")
+    files = a.inputFiles()
+    storage.discard(a, None, spark.range(1))
+    assert not any(os.path.exists(f.removeprefix("file://")) for f in files)
+    assert b.count() == 3
+
+
+def test_a_cluster_has_to_name_the_shared_folder(spark):
+    class Cluster:
+        conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
+        sparkContext = type("Context", (), {"master": "spark://host:7077"})
+
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        storage.shared_folder(Cluster)
+
+
 def test_sources_and_sinks(spark, tmp_path):
     numbered = tables.with_row_id(spark.range(100).select((99 - F.col("id")).alias("v")), "v")
     assert all(r["v"] == r["row_id"] for r in numbered.collect())
