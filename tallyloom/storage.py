@@ -7,6 +7,8 @@ import re
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -54,6 +56,23 @@ def discard(*tables: DataFrame | None) -> None:
             _delete(table.sparkSession, path)
 
 
+@contextmanager
+def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables stored inside the block are deleted when it ends; the function it yields marks those that stay."""
+    before, kept = len(_written), set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_paths[table])
+        return table
+
+    try:
+        yield keep
+    finally:
+        for path in [p for p in _written[before:] if p not in kept]:
+            _written.remove(path)
+            _delete(SparkSession.getActiveSession(), path)
+
+
 def release(spark: SparkSession) -> None:
     """Delete the tables this process wrote; call it when the results that read them are stored."""
     while _written:

@@ -219,6 +219,16 @@ def test_stored_tables_can_be_discarded_one_by_one(spark):
     assert b.count() == 3
 
 
+def test_tables_of_a_block_go_with_it(spark):
+    with storage.passing() as keep:
+        a = storage.stored(spark.range(3), "a")
+        files = a.inputFiles()
+        with storage.passing():
+            storage.discard(storage.stored(spark.range(1), "b"))
+        c = keep(storage.stored(a.filter("id > 0"), "c"))
+    assert c.count() == 2 and not any(os.path.exists(f.removeprefix("file://")) for f in files)
+
+
 def test_a_cluster_has_to_name_the_shared_folder(spark):
     class Cluster:
         conf = type("Conf", (), {"get": staticmethod(lambda *_: None)})
