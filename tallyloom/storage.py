@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import re
 import tempfile
@@ -47,6 +48,16 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver find the shuffles and broadcasts that nothing refers to any more, so that executors delete them.
+
+    Spark does so when the driver's heap happens to be collected, which in a loop of many small jobs is too late: the
+    files of all its rounds lie on the executors' disks until then.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def discard(*tables: DataFrame | None) -> None:
     """Delete stored tables that no later plan reads; frames that are not stored tables are left alone."""
     for table in tables:
@@ -71,6 +82,7 @@ def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in [p for p in _written[before:] if p not in kept]:
             _written.remove(path)
             _delete(SparkSession.getActiveSession(), path)
+        forget_shuffles(SparkSession.getActiveSession())
 
 
 def release(spark: SparkSession) -> None:
