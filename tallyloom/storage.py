@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import re
 import tempfile
@@ -13,6 +12,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths of the tables that this process wrote and has not deleted, and the frames that read them.
 _written: list[str] = []
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
@@ -33,10 +33,19 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as Parquet and read back: later jobs restart from these files."""
+    """``df`` written as Parquet and read back: later jobs restart from these files.
+
+    The shuffles of the write are deleted with it.  Spark otherwise waits until the driver's heap happens to be
+    collected, and the files of all rounds of a loop lie on the executors' disks until then.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
     _written.append(path)
     table = spark.read.schema(df.schema).parquet(path)
     _paths[table] = path
@@ -48,16 +57,6 @@ def _delete(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
-def forget_shuffles(spark: SparkSession) -> None:
-    """Have the driver find the shuffles and broadcasts that nothing refers to any more, so that executors delete them.
-
-    Spark does so when the driver's heap happens to be collected, which in a loop of many small jobs is too late: the
-    files of all its rounds lie on the executors' disks until then.
-    """
-    gc.collect()
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def discard(*tables: DataFrame | None) -> None:
     """Delete stored tables that no later plan reads; frames that are not stored tables are left alone."""
     for table in tables:
@@ -82,7 +81,6 @@ def passing() -> Iterator[Callable[[DataFrame], DataFrame]]:
         for path in [p for p in _written[before:] if p not in kept]:
             _written.remove(path)
             _delete(SparkSession.getActiveSession(), path)
-        forget_shuffles(SparkSession.getActiveSession())
 
 
 def release(spark: SparkSession) -> None:
