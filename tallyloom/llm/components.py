@@ -6,16 +6,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import materialise
+from .scratch import discard, materialise
 
 MAX_ROUNDS = 60
+#: Nodes that a task holds before it sends their links on.
+HELD = 1 << 18
+#: A hub has more neighbours than this and than one in HUB_SHARE of all links; its links are dealt to tasks of about so
+#: many.  There are at most 2 * HUB_SHARE hubs, so their list is bounded whatever the input.
+HUB = 1024
+HUB_SHARE = 1000
 
 
 def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a task's links by links of each node to the smallest node it reaches there."""
+    """Replace a task's links by links of each node to the smallest node it reaches there, HELD nodes at a time."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -26,38 +32,63 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             parent[x], x = top, up
         return top
 
+    def out() -> Iterator[pa.RecordBatch]:
+        nodes = np.fromiter(parent, np.int64, len(parent))
+        roots = np.fromiter((root(x) for x in parent), np.int64, len(parent))
+        for i in range(0, len(nodes), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], names=["u", "v"])
+
     for batch in batches:
         for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             a, b = root(a), root(b)
             if a != b:
                 parent[max(a, b)] = min(a, b)
-    nodes = np.fromiter(parent, np.int64, len(parent))
-    roots = np.fromiter((root(x) for x in parent), np.int64, len(parent))
-    for i in range(0, len(nodes), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], names=["u", "v"])
+        if len(parent) > HELD:
+            yield from out()
+            parent.clear()
+    yield from out()
+
+
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, spread: str, n: int) -> DataFrame:
+    """``rows`` (about ``n`` of them) joined with a table that has a row for each ``key``, without all rows of a hub in
+    one task: those are dealt by a hash of ``spread``, and the hub's row of the table is repeated for each share."""
+    most = max(HUB, n // HUB_SHARE)
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).collect()
+    if not counts:
+        return rows.join(table, key)
+    kind = rows.schema[key].dataType.simpleString()
+    hubs = F.broadcast(rows.sparkSession.createDataFrame([(r[key], -(-r["_n"] // most)) for r in counts], f"{key} {kind}, _d long"))
+    shares = lambda df: df.join(hubs, key, "left").withColumn("_d", F.coalesce("_d", F.lit(1)))
+    dealt = shares(rows).withColumn("_s", F.pmod(F.xxhash64(spread), F.col("_d"))).drop("_d")
+    return dealt.join(shares(table).withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_d") - 1))).drop("_d"), [key, "_s"]).drop("_s")
+
+
+def _with_least(edges: DataFrame, least: Column, n: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, ``least`` over the links of u, which tasks reduce before they are shuffled."""
+    return join_dealt(edges, edges.groupBy("u").agg(least.alias("m")), "u", "v", n)
 
 
 def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link to another; the component is its smallest node.
 
     ``links`` has two integer columns; null ends, self-links and repeated links are ignored.  Rows for a component's
-    smallest node are left out: a node that isn't in the result is its own component.
+    smallest node are left out: a node that isn't in the result is its own component.  No table but the result stays.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     edges = materialise(edges.mapInArrow(_contract, "u long, v long").filter("u <> v").distinct(), "links")
-    before = None
+    before, n = None, edges.count()
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least).distinct()
-        edges = materialise(small, "links")
+        large = materialise(_with_least(both, F.least(F.min("v"), F.col("u")), 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        placed = _with_least(large, F.min("v"), n)
+        small = placed.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(placed.select("u", F.col("m").alias("v"))).distinct()
+        old, edges = edges, materialise(small, "links")
+        discard(old, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break
-        before = state
+        before, n = state, state[0]
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

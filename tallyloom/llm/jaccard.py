@@ -16,17 +16,23 @@ Links need not be listed pair by pair, so no group is expanded into its pairs:
    share enough in this way;
 3. what those links connect is one component; long lists that still hold many pairs between components are thinned by
    turns in which each document meets a few others of its list;
-4. documents of different components that meet in a list go through the multi-match count and are verified, so no link
-   that could join two components is lost;
+4. documents of different components that meet in a list are paired only if their sketches allow the overlap that the
+   threshold asks for, then go through the multi-match count and are verified, so no link that could join two components
+   is lost;
 5. connected components of all verified links.
 
+A sketch is the parity of a set's shingles in each of SKETCH_BITS classes of their hash.  Two sketches differ in at most
+as many bits as the sets differ in shingles, so a pair whose sketches differ in more than the threshold allows is no link.
+The join of a list with itself tests that as part of its condition: a group of near copies in which few pairs are links
+gives about as many rows as links, and each row is 64 bytes wide however long the texts are.
+
 Estimates only choose the order and l, so they never change the result.
-Long posting lists are dealt to several tasks by a salt.
+Long posting lists are dealt to several tasks by a salt, and their pairs by blocks of rows on either side.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -37,8 +43,8 @@ from pyspark.sql import functions as F
 
 from . import bitmaps
 from . import kernels as K
-from .components import connected_components
-from .scratch import materialise
+from .components import connected_components, join_dealt
+from .scratch import discard, materialise, passing
 
 SHINGLE = 5
 PERCENT = 75
@@ -63,6 +69,13 @@ LINEAR = 32
 PIVOTS = 8
 
 
+#: Bits of a sketch, and its columns.
+SKETCH_BITS = 512
+SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
+#: Rows of a list that one task pairs with as many others.
+PAIR_ROWS = 1 << 12
+
+
 LIST_COLUMNS = ["h", "salt", "doc_id", "n", "l", "pivot", "pivot_n", "pivot_l", "met"]
 LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
@@ -328,32 +341,72 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
     return counted.filter((F.col("met") >= F.least("la", "lb")) & (F.col("met") + rest >= overlap)).drop("na", "nb", "la", "lb")
 
 
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Stored (doc_id, s) for the documents in ``wanted`` (and a few more, where bits of the map coincide)."""
+def _of_wanted(docs: DataFrame, wanted: DataFrame, k: int, schema: str, emit: Callable[[list[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
+    """Stored rows that ``emit`` makes of (doc_id, set) for the documents in ``wanted``, and for a few more, where bits
+    of the map coincide; a task holds 500 sets at most before it sends theirs on."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted.select(spot("doc_id").alias("at")), "at", MAP_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = batch.column(2).to_numpy()
-            batch = batch.filter(pa.array(bitmaps.test(shared.value, at)))
+            batch = batch.filter(pa.array(bitmaps.test(shared.value, batch.column(2).to_numpy())))
             ids = batch.column(0).to_pylist()
-            out = [(ids[i], s) for i, s in _sets(batch.column(1), k) if len(s)]
-            for i in range(0, len(out), 500):
-                part = out[i : i + 500]
-                values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in part]]), pa.int32()), pa.array(np.concatenate([s for _, s in part]).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), values], names=["doc_id", "s"])
+            part = []
+            for i, s in _sets(batch.column(1), k):
+                if len(s):
+                    part.append((ids[i], s))
+                if len(part) == 500:
+                    yield from emit(part)
+                    part = []
+            if part:
+                yield from emit(part)
 
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", spot("doc_id").alias("at"))
-    return materialise(rows.mapInArrow(run, "doc_id long, s array<long>"), "whole")
+    return materialise(rows.mapInArrow(run, schema), name)
+
+
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Stored (doc_id, s)."""
+
+    def emit(part: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in part]]), pa.int32()), pa.array(np.concatenate([s for _, s in part]).view(np.int64)))
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), values], names=["doc_id", "s"])
+
+    return _of_wanted(docs, wanted, k, "doc_id long, s array<long>", emit, "whole")
+
+
+def sketch(sets: list[np.ndarray]) -> np.ndarray:
+    """A row of SKETCH_BITS / 64 words for each set: bit i is the parity of its hashes that are i modulo SKETCH_BITS."""
+    which = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bits = np.concatenate([*sets, np.zeros(0, np.uint64)]) % np.uint64(SKETCH_BITS)
+    odd = np.bincount(which * SKETCH_BITS + bits.astype(np.int64), minlength=len(sets) * SKETCH_BITS) & 1
+    return np.packbits(odd.astype(bool).reshape(len(sets), SKETCH_BITS), axis=1).view(np.int64)
+
+
+def sketches(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """Stored (doc_id, n, k0, k1, ...): size and sketch of each document's set; an id with several sets has a row for each."""
+    names = ["doc_id", "n", *SKETCH]
+
+    def emit(part: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        words = sketch([s for _, s in part])
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([len(s) for _, s in part], pa.int32()), *[pa.array(words[:, i]) for i in range(len(SKETCH))]], names=names)
+
+    return _of_wanted(docs, wanted, k, f"doc_id long, n int, {', '.join(f'{c} long' for c in SKETCH)}", emit, "sketches").distinct()
+
+
+def _may_reach(a: str, b: str, percent: int) -> str:
+    """SQL: the sketches (columns with suffixes a and b) differ in no more shingles than linked sets of these sizes may."""
+    apart = " + ".join(f"bit_count({c}{a} ^ {c}{b})" for c in SKETCH)
+    return f"{apart} <= na + nb - 2 * (({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
 
 
 def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets reach the threshold; only documents of pairs get whole sets."""
+    """The pairs (a, b) of a stored table whose sets reach the threshold; only documents of pairs get whole sets."""
     sets = whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k)
     a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    return pairs.select("a", "b").join(a, "a").join(b, "b").filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    n = pairs.count()
+    return join_dealt(join_dealt(pairs.select("a", "b"), a, "a", "b", n), b, "b", "a", n).filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
 
 
 def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -365,6 +418,11 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     linked with nothing and has a null component.  An empty table gives no rows.  ``doc_id`` must be an integer.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    with passing() as keep:
+        return keep(materialise(_components(docs, shingle, percent), "classes"))
+
+
+def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     summary = summaries(docs, shingle)
     rows = summary.filter("kind = 0")
     same = rows.filter("rep IS NOT NULL")
@@ -385,14 +443,16 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
     stars = materialise(candidates(sorted_ends(first.union(across)).union(pairs), percent), "stars")
     links = materialise(equal.union(verify(docs, stars, shingle, percent)), "links")
     known = connected_components(links)
+    discard(links)
 
     # documents of different components that meet in a list
-    before = None
+    before, lists_now = None, None
     while True:
         placed = lists.join(known.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("c", F.coalesce("component", "doc_id")).select("h", "doc_id", "n", "l", "c")
         parts = placed.groupBy("h", "c").agg(F.count("*").alias("k")).groupBy("h").agg(F.sum("k").alias("rows"), F.sum(F.col("k") * F.col("k")).alias("squares"), F.count("*").alias("parts"))
         mixed = parts.filter("parts > 1").select("h", "rows", F.expr("(rows * rows - squares) div 2").alias("pairs"))
-        placed = materialise(placed.join(mixed, "h"), "mixed")
+        discard(lists_now)
+        placed = lists_now = materialise(placed.join(mixed, "h"), "mixed")
         long_ = placed.filter(F.col("pairs") > F.col("rows") * LINEAR)
         apart = long_.agg(F.coalesce(F.sum(F.col("pairs") / F.col("rows")), F.lit(0.0))).first()[0]
         if not apart or (before is not None and apart > before / 2):
@@ -406,16 +466,24 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         heads = [F.max(F.when(part == j, F.struct("lists", "doc_id", "n", "c"))).alias(f"p{j}") for j in range(PIVOTS)]
         heads = longest.groupBy("h").agg(*heads).select("h", F.explode(F.array_compact(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
         met = longest.join(heads, "h").filter("c <> p.c").filter(_near("n", "p.n", percent)).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
-        more = materialise(verify(docs, materialise(met.distinct(), "stars"), shingle, percent), "links")
+        met = materialise(met.distinct(), "met")
+        more = materialise(verify(docs, met, shingle, percent), "links")
+        discard(longest, met)
         if more.isEmpty():
             break
         known = connected_components(known.union(more))
-    a, b = (placed.select("h", *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c")]) for x in "ab")
-    met = named(a.join(b, "h").filter("ca < cb"), ["doc_ida", "doc_idb", "na", "nb", "la", "lb", None], "ca", "cb")
+        discard(more)
+    drawn = sketches(docs, placed.select("doc_id").distinct(), shingle)
+    blocks = F.expr(f"1 + (rows - 1) div {PAIR_ROWS}")
+    sides = placed.select("h", "doc_id", "n", "l", "c", F.sequence(F.lit(0).cast("long"), blocks - 1).alias("every"), F.pmod(F.xxhash64("doc_id"), blocks).alias("own")).join(drawn, ["doc_id", "n"])
+    a, b = (sides.select("h", F.col("own").alias(x), F.explode("every").alias(y), *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c", *SKETCH)]) for x, y in ("ab", "ba"))
+    met = a.join(b, ["h", "a", "b"]).drop("a", "b").filter("ca < cb").filter(_may_reach("a", "b", percent))
+    met = named(met, ["doc_ida", "doc_idb", "na", "nb", "la", "lb", None], "ca", "cb")
     labels = known.select("node", "component")
     apart = pairs.join(labels.toDF("a", "ca"), "a", "left").join(labels.toDF("b", "cb"), "b", "left").withColumn("ca", F.coalesce("ca", "a")).withColumn("cb", F.coalesce("cb", "b")).filter("ca <> cb")
     apart = apart.select(*ends, F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
     open_ = materialise(candidates(sorted_ends(met, "ca", "cb").union(apart), percent).join(stars, ["a", "b"], "left_anti"), "open")
+    discard(found, stars, placed)
     # the likeliest pair of two components first, then some more, then all that are still apart
     for most in (1, 8, None):
         ranked = open_
@@ -425,7 +493,7 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
         if tried.isEmpty():
             break
         more = materialise(verify(docs, tried, shingle, percent), "links")
-        open_ = open_.join(tried, ["a", "b"], "left_anti")
+        last, open_ = open_, open_.join(tried, ["a", "b"], "left_anti")
         if not more.isEmpty():
             known = connected_components(known.union(more))
             joined = connected_components(tried.join(more, ["a", "b"]).select("ca", "cb"))
@@ -433,6 +501,7 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
             open_ = open_.select("a", "b", "met", F.least("x", "y").alias("ca"), F.greatest("x", "y").alias("cb"))
         if most:
             open_ = materialise(open_, "open")
+            discard(last, tried, more)
     out = rows.select("doc_id", F.col("n").alias("n_shingles")).join(known, F.col("doc_id") == F.col("node"), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
 
@@ -440,16 +509,22 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One document of each component, with all its columns: the smallest doc_id, and any one row where that repeats.
 
-    Documents without an id or without words stay.
+    Documents without an id or without words stay.  Only rows whose id may be among those to go or the repeated ones (a
+    map of bits tells, and is wrong for few) are shuffled; the texts of all others stay where they are.
     """
     found = ngram_jaccard(docs, text, doc_id)
     gone = found.filter("component_id < doc_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, docs[doc_id] == gone["_gone"], "left_anti")
-    twice = materialise(found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
-    if twice.isEmpty():
-        return kept
-    same = kept[doc_id] == twice["_twice"]
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([doc_id]))
+    twice = found.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice"))
+    spot = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(MAP_BITS))
+    table = bitmaps.pages(materialise(gone.select(spot("_gone").alias("at")).union(twice.select(spot("_twice").alias("at"))), "spots"), "at")
+    # columns get names of their own, so that none of the caller's clashes with those of the joins
+    mine = [f"_c{i}" for i in range(len(docs.columns))]
+    own = mine[docs.columns.index(doc_id)]
+    stay, asked = bitmaps.split(docs.toDF(*mine), spot(own), table)
+    asked = asked.join(gone, F.col(own) == F.col("_gone"), "left_anti")
+    again = F.col(own) == F.col("_twice")
+    once = asked.join(twice, again, "left_anti").unionByName(asked.join(twice, again, "left_semi").dropDuplicates([own]))
+    return stay.unionByName(once).toDF(*docs.columns)
 
 
 def op9_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ import pyarrow.compute as pc
 
 from .scratch import worker_cache
 
-CHUNK = 1 << 19
+CHUNK = 1 << 18
 _rng = np.random.Generator(np.random.PCG64(20240229))
 #: A random odd-free 64-bit value for each byte, and an odd base with its inverse modulo 2**64.
 BYTE_KEY = _rng.integers(1, 2**63, 256, dtype=np.uint64)

@@ -7,10 +7,10 @@ import types
 
 from pyspark.sql import SparkSession
 
-from ..storage import release, stored
+from ..storage import discard, passing, release, stored
 
 materialise = stored
-__all__ = ["bound_batches", "materialise", "release", "worker_cache"]
+__all__ = ["bound_batches", "discard", "materialise", "passing", "release", "worker_cache"]
 
 
 def worker_cache() -> dict:
@@ -20,5 +20,7 @@ def worker_cache() -> dict:
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Arrow batches by size rather than by rows, so that a Python worker's memory does not follow the texts' lengths."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    """Arrow batches by size rather than by rows, so that a Python worker's memory does not follow the texts' lengths; the
+    reader of Parquet holds fewer rows for the same reason."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "2m")
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", "1024")

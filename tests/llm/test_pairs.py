@@ -57,15 +57,53 @@ def corpus(seed=3):
 def test_components_equal_brute_force(spark, monkeypatch, linear):
     monkeypatch.setattr(jaccard, "LINEAR", linear)
     monkeypatch.setattr(jaccard, "LIST_ROWS", 8)
+    monkeypatch.setattr(jaccard, "PAIR_ROWS", 7)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id long, text string, n int, component string").repartition(3)
     got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.ngram_jaccard(docs).collect()], key=str)
     assert got == brute(rows)
 
 
+def test_a_group_of_near_copies_that_are_mostly_no_links(spark):
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(160):
+        words = list(base)
+        for at in rng.sample(range(150), rng.choice((2, 3, 4, 5))):
+            words[at] = f"own{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.ngram_jaccard(docs).collect()], key=str)
+    want = brute(rows)
+    assert got == want and 5 < len({c for _, _, c in want}) < 155
+
+
+def test_sketches_never_rule_out_a_link():
+    rng = np.random.default_rng(6)
+    for n in (3, 40, 400, 3000):
+        for _ in range(20):
+            union = rng.integers(0, 2**63, n).astype(np.uint64)
+            sets = [np.unique(union[rng.random(n) < 0.9]) for _ in range(2)]
+            apart = int(np.bitwise_count(np.bitwise_xor(*jaccard.sketch(sets)).view(np.uint64)).sum())
+            assert apart <= len(np.setxor1d(*sets))
+
+
+@pytest.mark.parametrize("hub, share", [(1024, 1000), (3, 1), (1, 1000)])
+def test_hubs_are_dealt_to_several_tasks(spark, monkeypatch, hub, share):
+    from tallyloom.llm import components
+
+    monkeypatch.setattr(components, "HUB", hub)
+    monkeypatch.setattr(components, "HUB_SHARE", share)
+    monkeypatch.setattr(components, "HELD", 5)
+    links = [(1, i) for i in range(2, 60)] + [(i, i + 100) for i in range(2, 60)] + [(500, 501), (501, 502), (500, 159)] + [(900, 901)]
+    got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "x long, y long").repartition(4)).collect()}
+    assert got == {i: 1 for a in links[:-1] for i in a if i != 1} | {901: 900}
+
+
 def test_keep_one_leaves_one_of_each_group(spark):
     rows = corpus(5)
-    docs = spark.createDataFrame([(i, t, "keep") for i, t in rows], "doc_id long, text string, extra string")
+    docs = spark.createDataFrame([(i, t, "keep", 1, 2) for i, t in rows], "doc_id long, text string, extra string, _gone int, component_id int")
     kept = jaccard.keep_one(docs).collect()
     want = {c for _, _, c in brute(rows) if c is not None}
     assert sorted(r["doc_id"] for r in kept if r["doc_id"] is not None) == sorted(want)
