@@ -2,25 +2,27 @@
 
 Corners are found at several scales (Harris response, local maxima), turned upright by the intensity centroid of their
 patch and described by 128 binary brightness tests, as four 32-bit words.  Two descriptors can meet if one of their eight
-16-bit halves differs in at most one bit: the halves are the keys of eight hash tables, and a query asks each for its own
-key and the 16 beside it.  Distances up to 15 are always found; of pairs at distance 20, random flips leave 92 %.  The
-queries' keys are a map of bits, so that only descriptors that may meet one are shuffled.  Matches vote for a rotation, a
-scale step and a translation, in bins that overlap by half; images whose
-matches agree on one placement are copies, also when cropped, brightened or re-encoded.
-
-Equal images are one class first, so a group of copies is searched once.  Queries are a stated set of images, against
-all classes.
+16-bit halves differs in at most one bit: the halves are the keys of eight hash tables, and a descriptor asks each for its
+own key and the 16 beside it.  Distances up to 15 are always found; of pairs at distance 20, random flips leave 92 %.
+Matches vote for a rotation, a scale step and a translation, in bins that overlap by half; images whose matches agree on
+one placement are copies, also when cropped, brightened or re-encoded.
+
+Queries are a stated set of images, against all classes of equal images.  The tables hold the corners of a block of
+queries, at most about QUERY_CORNERS of them, and are broadcast; images stream past them, one pass for each block, and
+their corners, matches and votes never leave the task.  Nothing is shuffled but images that may equal others, and the
+pairs that were found.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import bitmaps
 from .scratch import materialise
@@ -83,11 +85,16 @@ def _strongest_near(x: np.ndarray) -> np.ndarray:
     return np.repeat(np.repeat(cells, AREA, 0), AREA, 1)[:h, :w]
 
 
-#: Hash tables, bits of a key, and the bits of the map of the queries' keys: one for each key of each table.
+#: Hash tables and bits of a key.
 TABLES, KEY_BITS = 8, 16
-MAP_BITS = TABLES << KEY_BITS
-#: What a query's key is changed by: no bit or one.
-PROBES = (0, *[1 << b for b in range(KEY_BITS)])
+#: What a key is changed by: no bit or one.
+PROBES = np.array([0, *[1 << b for b in range(KEY_BITS)]])
+#: Corners of queries that are broadcast at a time (some 80 bytes each, with their places in the tables).
+QUERY_CORNERS = 1 << 18
+#: Pairs of descriptors that a task compares at a time.
+CANDIDATES = 1 << 20
+#: Bits of the map of images that equal another one (8 MB, whatever their number).
+MAP_BITS = 1 << 26
 
 
 def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -124,102 +131,202 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
-def _key(word: Column | np.ndarray, table: int) -> Column | np.ndarray:
-    """A table's key: half of word ``table // 2`` (the first argument)."""
-    shift, mask = KEY_BITS * (table % 2), (1 << KEY_BITS) - 1
-    return (word >> shift) & mask if isinstance(word, np.ndarray) else F.shiftright(word, shift).bitwiseAND(mask)
+#: A corner as stored and broadcast.
+CORNER = np.dtype([("x", "<i4"), ("y", "<i4"), ("level", "<i2"), ("angle", "<i2"), ("words", "<u4", (4,))])
 
 
-def descriptors(images: DataFrame, wanted: np.ndarray | None = None) -> DataFrame:
-    """(image, corner, x, y, level, angle, w0..w3, tables) from rows (image, height, width, pixels): one byte a pixel.
+def corners_of(height: int | None, width: int | None, pixels: bytes | None) -> np.ndarray:
+    """The corners of an image of one byte a pixel; none if its pixels are null, empty or not height x width bytes."""
+    if not pixels or height is None or width is None or len(pixels) != height * width:
+        return np.zeros(0, CORNER)
+    x, y, level, angle, words = describe(np.frombuffer(pixels, np.uint8).reshape(height, width))
+    out = np.empty(len(x), CORNER)
+    out["x"], out["y"], out["level"], out["angle"], out["words"] = x, y, level, angle, words
+    return out
 
-    ``tables`` has a bit for each hash table in which the descriptor may meet one of ``wanted`` (a map of bits; all
-    without it); those that meet none are left out.  Null or malformed pixels (not height x width bytes), and images without corners, have no rows.
+
+def descriptors(images: DataFrame) -> DataFrame:
+    """(image, n, corners) from rows (image, height, width, pixels): an image's corners as the bytes of CORNER records.
+
+    Null or malformed pixels (not height x width bytes), and images without corners, have no row.
     """
-    names = ["image", "corner", "x", "y", "level", "angle", "w0", "w1", "w2", "w3", "tables"]
-    shared = images.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            heights, widths = (batch.column(i).to_pylist() for i in (1, 2))
-            rows, parts = [], []
-            for i in range(batch.num_rows):
-                raw = batch.column(3)[i].as_py()
-                if raw is None or heights[i] is None or widths[i] is None or len(raw) != heights[i] * widths[i] or not raw:
-                    continue
-                found = describe(np.frombuffer(raw, np.uint8).reshape(heights[i], widths[i]))
-                found = (*found, np.arange(len(found[0])), np.full(len(found[0]), (1 << TABLES) - 1))
-                if shared.value is not None:
-                    hits = sum(bitmaps.test(shared.value, (k << KEY_BITS) + _key(found[4][:, k // 2], k)).astype(np.int64) << k for k in range(TABLES))
-                    found = tuple(x[hits > 0] for x in (*found[:6], hits))
-                if len(found[0]):
-                    rows.append((i, len(found[0])))
-                    parts.append(found)
-            if parts:
-                which = np.repeat([r for r, _ in rows], [n for _, n in rows])
-                columns = [np.concatenate([p[k] for p in parts]) for k in range(7)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(which)), pa.array(columns[5], pa.int32()), *[pa.array(c, pa.int32()) for c in columns[:4]], *[pa.array(columns[4][:, k]) for k in range(4)], pa.array(columns[6], pa.int32())], names=names)
+            found = [corners_of(*(batch.column(k)[i].as_py() for k in (1, 2, 3))) for i in range(batch.num_rows)]
+            some = [i for i, c in enumerate(found) if len(c)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some, pa.int32())), pa.array([len(found[i]) for i in some], pa.int32()), pa.array([found[i].tobytes() for i in some], pa.binary())], names=["image", "n", "corners"])
 
     kind = images.schema["image"].dataType.simpleString()
-    return images.select("image", "height", "width", "pixels").mapInArrow(run, f"image {kind}, corner int, x int, y int, level int, angle int, w0 long, w1 long, w2 long, w3 long, tables int")
-
-
-def _tables(d: DataFrame, side: str, probes: tuple[int, ...] = (0,)) -> DataFrame:
-    words = [f"w{k}" for k in range(4)]
-    keys = F.explode(F.array_compact(F.array(*[F.when(F.col("tables").bitwiseAND(1 << k) != 0, F.struct(F.lit(k).alias("table"), _key(F.col(f"w{k // 2}"), k).alias("key"))) for k in range(TABLES)])))
-    rows = d.select(*[F.col(c).alias(f"{side}_{c}") for c in ("image", "corner", "x", "y", "level", "angle", *words)], keys.alias("_k"))
-    rows = rows.select("*", "_k.table", "_k.key").drop("_k")
-    return rows.withColumn("key", F.explode(F.transform(F.array(*[F.lit(p) for p in probes]), lambda p: F.col("key").bitwiseXOR(p)))) if len(probes) > 1 else rows
+    return images.select("image", "height", "width", "pixels").mapInArrow(run, f"image {kind}, n int, corners binary")
+
+
+def _keys(words: np.ndarray, table: int) -> np.ndarray:
+    """A table's key of each descriptor: half of word ``table // 2``."""
+    return (words[:, table // 2] >> np.uint32(KEY_BITS * (table % 2))).astype(np.int64) & ((1 << KEY_BITS) - 1)
+
+
+class Tables:
+    """The corners of some queries and where each key's lie in each table."""
+
+    def __init__(self, corners: np.ndarray, image: np.ndarray):
+        self.corners, self.image = corners, image  # of each corner, the place of its query
+        first = np.flatnonzero(np.append(True, image[1:] != image[:-1])) if len(image) else np.zeros(0, np.int64)
+        self.nth = np.arange(len(image)) - np.repeat(first, np.diff(first, append=len(image)))
+        self.order, self.bounds = [], []
+        for k in range(TABLES):
+            keys = _keys(corners["words"], k)
+            self.order.append(np.argsort(keys, kind="stable").astype(np.int32))
+            self.bounds.append(np.searchsorted(keys[self.order[-1]], np.arange((1 << KEY_BITS) + 1)).astype(np.int32))
+
+    def meet(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Pairs of a query's corner and one of ``corners`` that meet in a table and differ in MAX_DISTANCE bits or
+        less, each once, and in how many bits."""
+        found = [(np.zeros(0, np.int64),) * 3]
+        for k in range(TABLES):
+            keys = (_keys(corners["words"], k)[:, None] ^ PROBES[None]).ravel()
+            size = self.bounds[k][keys + 1] - self.bounds[k][keys]
+            before = np.append(0, np.cumsum(size, dtype=np.int64))
+            at = 0
+            while at < len(keys):  # as many keys as have CANDIDATES pairs
+                stop = max(at + 1, int(np.searchsorted(before, before[at] + CANDIDATES, "right")) - 1)
+                n = size[at:stop]
+                total = int(n.sum())
+                if total:
+                    d = np.repeat(np.arange(at, stop) // len(PROBES), n)
+                    q = self.order[k][np.arange(total) - np.repeat(before[at:stop] - before[at], n) + np.repeat(self.bounds[k][keys[at:stop]], n)]
+                    apart = np.bitwise_count(self.corners["words"][q] ^ corners["words"][d]).sum(1, dtype=np.int64)
+                    near = apart <= MAX_DISTANCE
+                    found.append((q[near].astype(np.int64), d[near], apart[near]))
+                at = stop
+        q, d, apart = (np.concatenate(x) for x in zip(*found, strict=True))
+        _, one = np.unique(q * max(1, len(corners)) + d, return_index=True)
+        return q[one], d[one], apart[one]
+
+    def votes(self, corners: np.ndarray, min_inliers: int) -> list[tuple[int, int, int, int]]:
+        """(place of the query, inliers, turn, step) for each query with which an image's corners agree on a placement.
+
+        A corner votes with its nearest corners of the other image only, ties included.
+        """
+        q, d, apart = self.meet(corners)
+        owner = self.image[q]
+        for one in (q, owner * max(1, len(corners)) + d):
+            order = np.lexsort((apart, one))
+            first = np.flatnonzero(np.append(True, one[order][1:] != one[order][:-1])) if len(one) else np.zeros(0, np.int64)
+            least = np.empty(len(one), np.int64)
+            least[order] = np.repeat(apart[order][first], np.diff(first, append=len(one)))
+            q_or_d = apart == least
+            keep = q_or_d if one is q else keep & q_or_d
+        q, d, owner = q[keep], d[keep], owner[keep]
+        many = np.bincount(owner) >= min_inliers if len(owner) else np.zeros(0, bool)
+        q, d, owner = (x[many[owner]] for x in (q, d, owner)) if len(owner) else (q, d, owner)
+        if not len(q):
+            return []
+        a, b = self.corners[q], corners[d]
+        turn = (b["angle"].astype(np.int64) - a["angle"]) % ANGLES
+        step = b["level"].astype(np.int64) - a["level"]
+        angle, size = turn * (2 * math.pi / ANGLES), (SCALES[0] / SCALES[1]) ** step
+        shift = (b["x"] - size * (np.cos(angle) * a["x"] - np.sin(angle) * a["y"]), b["y"] - size * (np.sin(angle) * a["x"] + np.cos(angle) * a["y"]))
+        both = lambda value, width: (np.floor(value / width).astype(np.int64) * 2, np.floor(value / width + 0.5).astype(np.int64) * 2 - 1)
+        bins = [np.stack([owner, bx, by, bt % (2 * ANGLES // TURN_BIN), step], 1) for bx in both(shift[0], SHIFT_BIN) for by in both(shift[1], SHIFT_BIN) for bt in both(turn, TURN_BIN)]
+        rows, place = np.unique(np.concatenate(bins), axis=0, return_inverse=True)
+        place = place.ravel()
+        corner = lambda x: np.bincount(np.unique(np.stack([place, np.tile(x, len(bins))], 1), axis=0)[:, 0], minlength=len(rows))
+        inliers = np.minimum(corner(q), corner(d))
+        turns = np.full(len(rows), ANGLES)
+        np.minimum.at(turns, place, np.tile(turn, len(bins)))
+        best: dict[int, tuple[int, int, int, int]] = {}
+        for i in np.flatnonzero(inliers >= min_inliers).tolist():
+            vote = (int(inliers[i]), -abs(int(rows[i, 4])), int(turns[i]), int(rows[i, 4]))
+            best[int(rows[i, 0])] = max(vote, best.get(int(rows[i, 0]), vote))
+        return [(owner, n, turn, step) for owner, (n, _, turn, step) in best.items()]
+
+
+def _against(queries: DataFrame, images: DataFrame, schema: str, emit: Callable[[Tables, np.ndarray], list[tuple]]) -> DataFrame:
+    """What ``emit`` makes of the corners of a block of queries and of each image: rows whose first value is the place
+    of a query, before which the query and the image are put.  Both sides have images and corners."""
+    spark = queries.sparkSession
+    asked = materialise(descriptors(queries), "corners")
+    blocks = max(1, -(-(asked.agg(F.sum("n")).first()[0] or 0) // QUERY_CORNERS))
+    known = images if blocks == 1 else materialise(descriptors(images), "corners")
+    raw = blocks == 1
+    kinds = [asked.schema["image"].dataType, images.schema["image"].dataType]
+    whole = f"q_image {kinds[0].simpleString()}, d_image {kinds[1].simpleString()}, {schema}"
+    names = [f.name for f in T.StructType.fromDDL(whole).fields]
+    out = None
+    for i in range(blocks):
+        part = asked.filter(F.pmod(F.xxhash64("image"), F.lit(blocks)) == i).toArrow().sort_by("image").combine_chunks()
+        ids = part["image"].combine_chunks().dictionary_encode(null_encoding="encode") if part.num_rows else None
+        corners = [np.frombuffer(c, CORNER) for c in part["corners"].to_pylist()]
+        which = np.repeat(ids.indices.to_numpy(), [len(c) for c in corners]) if part.num_rows else np.zeros(0, np.int64)
+        shared = spark.sparkContext.broadcast((np.concatenate([*corners, np.zeros(0, CORNER)]), which.astype(np.int64), ids.dictionary if ids is not None else pa.array([], pa.int64())))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            corners, which, ids = shared.value
+            if not len(corners):
+                return
+            tables = Tables(corners, which)
+            for batch in batches:
+                rows = []
+                for k in range(batch.num_rows):
+                    found = corners_of(*(batch.column(c)[k].as_py() for c in (1, 2, 3))) if raw else np.frombuffer(batch.column(2)[k].as_py(), CORNER)
+                    rows += [(k, *r) for r in emit(tables, found)]
+                if rows:
+                    columns = list(zip(*rows, strict=True))
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(columns[1])), batch.column(0).take(pa.array(columns[0])), *[pa.array(c, pa.int32()) for c in columns[2:]]], names=names)
+
+        columns = ["image", "height", "width", "pixels"] if raw else ["image", "n", "corners"]
+        now = known.select(*columns).mapInArrow(run, whole)
+        out = now if out is None else out.unionByName(now)
+    return out
 
 
 def matches(queries: DataFrame, images: DataFrame) -> DataFrame:
-    """The pairs of descriptors that meet in a table and differ in MAX_DISTANCE bits or less, each once (q_*, d_*, apart)."""
-    q = _tables(materialise(descriptors(queries), "corners"), "q", PROBES)
-    wanted = bitmaps.build(q.select((F.col("key") + F.col("table") * (1 << KEY_BITS)).alias("at")).distinct(), "at", MAP_BITS)
-    d = _tables(descriptors(images, wanted), "d")
-    apart = [F.col(f"q_w{k}").bitwiseXOR(F.col(f"d_w{k}")) for k in range(4)]
-    distance = sum((F.bit_count(x) for x in apart[1:]), F.bit_count(apart[0]))
-    first = F.coalesce(*[F.when(F.bit_count(_key(apart[k // 2], k)) <= 1, F.lit(k)) for k in range(TABLES)])
-    return q.join(d, ["table", "key"]).filter((distance <= MAX_DISTANCE) & (F.col("table") == first)).drop("table", "key").withColumn("apart", distance)
+    """The pairs of descriptors that meet in a table and differ in MAX_DISTANCE bits or less, each once: q_image, d_image,
+    q_corner, d_corner (places among the image's corners) and ``apart``, in how many bits."""
 
+    def emit(tables: Tables, corners: np.ndarray) -> list[tuple]:
+        q, d, apart = tables.meet(corners)
+        return list(zip(tables.image[q].tolist(), tables.nth[q].tolist(), d.tolist(), apart.tolist(), strict=True))
 
-def _bins(value: Column, width: int) -> Column:
-    """Both bins that a value lies in: bins overlap by half."""
-    return F.array(F.floor(value / width) * 2, F.floor(value / width + 0.5) * 2 - 1)
+    return _against(queries, images, "q_corner int, d_corner int, apart int", emit)
 
 
 def _content() -> Column:
-    return F.sha2(F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.hex("pixels")), 256)
+    return F.sha2(F.concat_ws("x", F.col("height").cast("string"), F.col("width").cast("string"), F.sha2("pixels", 256)), 256)
 
 
 def image_classes(images: DataFrame) -> DataFrame:
-    """(image, class): the smallest id of the images equal to each image; images with null pixels have no class."""
+    """(image, class): the smallest id of the images equal to each image; images with null pixels have no class.  An id
+    of several images has a row for each of their classes."""
     each = images.filter("pixels IS NOT NULL").select("image", _content().alias("_content")).distinct()
     least = each.groupBy("_content").agg(F.min("image").alias("class"))
     return each.join(least, "_content").select("image", "class")
 
 
+def _first_of_class(images: DataFrame) -> DataFrame:
+    """The images whose id is the smallest of their class.  Ids and hashes are shuffled, and the few images that a map
+    of bits takes for later members: all others stay where they are."""
+    images = images.filter("pixels IS NOT NULL").select("image", "height", "width", "pixels", _content().alias("_content"))
+    each = materialise(images.select("image", "_content").distinct(), "contents")
+    later = each.join(each.groupBy("_content").agg(F.min("image").alias("_least")), "_content").filter("image > _least").select("image", "_content")
+    spot = F.pmod(F.xxhash64("image", "_content"), F.lit(MAP_BITS))
+    first, asked = bitmaps.split(images, spot, bitmaps.pages(later.select(spot.alias("at")), "at"))
+    narrow = asked.join(later, ["image", "_content"], "left_anti")
+    return first.unionByName(narrow.select(first.columns)).drop("_content")
+
+
 def image_copies(queries: DataFrame, images: DataFrame, min_inliers: int = MIN_INLIERS) -> DataFrame:
     """(query, image, inliers, turn, level_step): classes of images that hold a copy of a query's content.  A level step is half an octave.
 
     Both tables have rows (image, height, width, pixels); ``image`` of the result is the smallest id of its class of
-    equal images.  Ids that repeat are searched together.  An empty table on either side gives no rows.
+    equal images.  Ids that repeat are searched together, rows without an id like any id; the best placement counts, the
+    nearest level step if inliers tie.  Null and malformed pixels match nothing.  An empty table on either side gives no
+    rows.  Other columns are left out.  An image is described in memory, so a task holds some 200 bytes a pixel of it.
     """
-    distinct = images.filter("pixels IS NOT NULL").groupBy(_content().alias("_content")).agg(F.min(F.struct("image", "height", "width", "pixels")).alias("x")).select("x.*")
-    met = matches(queries, distinct)
-    for side in "qd":  # a corner votes with its nearest corners of an image, ties included
-        met = met.withColumn(f"{side}_least", F.min("apart").over(Window.partitionBy("q_image", "d_image", f"{side}_corner")))
-    met = met.filter((F.col("apart") == F.col("q_least")) & (F.col("apart") == F.col("d_least")))
-    pairs = met.select("q_image", "d_image", "q_corner", "d_corner", "q_x", "q_y", "d_x", "d_y", F.pmod(F.col("d_angle") - F.col("q_angle"), F.lit(ANGLES)).alias("turn"), (F.col("d_level") - F.col("q_level")).alias("step"))
-    angle = F.col("turn") * F.lit(2 * math.pi / ANGLES)
-    size = F.pow(F.lit(SCALES[0] / SCALES[1]), F.col("step"))
-    tx = F.col("d_x") - size * (F.cos(angle) * F.col("q_x") - F.sin(angle) * F.col("q_y"))
-    ty = F.col("d_y") - size * (F.sin(angle) * F.col("q_x") + F.cos(angle) * F.col("q_y"))
-    votes = pairs.withColumn("bx", F.explode(_bins(tx, SHIFT_BIN))).withColumn("by", F.explode(_bins(ty, SHIFT_BIN))).withColumn("bt", F.explode(_bins(F.col("turn"), TURN_BIN)))
-    wrap = F.pmod("bt", F.lit(2 * ANGLES // TURN_BIN))
-    agreed = votes.groupBy("q_image", "d_image", "bx", "by", wrap.alias("bt"), "step").agg(F.countDistinct("q_corner").alias("a"), F.countDistinct("d_corner").alias("b"), F.min("turn").alias("turn"))
-    best = agreed.withColumn("inliers", F.least("a", "b")).filter(F.col("inliers") >= min_inliers)
-    return best.groupBy("q_image", "d_image").agg(F.max(F.struct("inliers", (-F.abs("step")).alias("near"), "turn", "step")).alias("m")).select(F.col("q_image").alias("query"), F.col("d_image").alias("image"), F.col("m.inliers").alias("inliers"), F.col("m.turn").alias("turn"), F.col("m.step").alias("level_step"))
+    found = _against(queries, _first_of_class(images), "inliers int, turn int, step int", lambda tables, corners: tables.votes(corners, min_inliers))
+    best = found.groupBy("q_image", "d_image").agg(F.max(F.struct("inliers", (-F.abs("step")).alias("near"), "turn", "step")).alias("m"))
+    return best.select(F.col("q_image").alias("query"), F.col("d_image").alias("image"), F.col("m.inliers").alias("inliers"), F.col("m.turn").alias("turn"), F.col("m.step").alias("level_step"))
 
 
 CELL = 2
@@ -251,13 +358,14 @@ def recurrence_images(vectors: DataFrame, image: str = "vec_id", values: str = "
 
 
 def edited(images: DataFrame, crop: int = 14, gain: float = 0.8, lift: float = 20.0) -> DataFrame:
-    """Each image without ``crop`` pixels at its top and left, and with another contrast and brightness."""
+    """Each image without ``crop`` pixels at its top and left, and with another contrast and brightness; null pixels for
+    images that are malformed or no larger than the crop."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for h, w, raw in zip(*[batch.column(i).to_pylist() for i in (1, 2, 3)], strict=True):
-                if raw is None or h <= crop or w <= crop:
+                if raw is None or h is None or w is None or len(raw) != h * w or h <= crop or w <= crop:
                     out.append((None, None, None))
                     continue
                 x = np.frombuffer(raw, np.uint8).reshape(h, w)[crop:, crop:]
@@ -276,6 +384,8 @@ def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     row (image, class) for every other member of a class.  A query's copies are the members of the classes it matches.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    # a vector is short but its image takes long to describe: rows are dealt evenly, whatever the files' sizes
+    vectors = vectors.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
     asked = vectors.filter("vec_id % 50 = 0")
     images = recurrence_images(vectors)
     found = image_copies(edited(recurrence_images(asked)), images)

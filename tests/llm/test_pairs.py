@@ -223,6 +223,53 @@ def table_of(spark, d):
     return spark.createDataFrame([(i, x.shape[0], x.shape[1], bytearray(x.tobytes())) for i, x in d.items()], "image long, height int, width int, pixels binary")
 
 
+def test_repeated_ids_null_ids_ties_and_blocks_of_queries(spark, monkeypatch):
+    base = {i: scene(i) for i in range(4)}
+    rows = [(i, 160, 160, bytearray(x.tobytes()), "extra") for i, x in base.items()]
+    rows += [(0, 160, 160, bytearray(base[1].tobytes()), "x"), (None, 160, 160, bytearray(base[2].tobytes()), "x"), (9, 160, 160, bytearray(base[3].tobytes()), "x"), (9, 160, 160, bytearray(base[3].tobytes()), "x")]
+    index = spark.createDataFrame(rows, "image long, height int, width int, pixels binary, _content string").repartition(3)
+    asked = spark.createDataFrame([*[(str(i), *r[1:]) for i, r in enumerate(rows)], (None, *rows[0][1:]), ("1", *rows[3][1:])], "image string, height int, width int, pixels binary, q_image string")
+    want = {("0", 0), ("1", 0), ("2", 2), ("3", 3), ("4", 0), ("5", 2), ("6", 3), ("7", 3), (None, 0), ("1", 3), ("2", None), ("5", None)}
+    found = [{(r["query"], r["image"]): r["inliers"] for r in images.image_copies(asked, index).collect()}]
+    for name, value in (("QUERY_CORNERS", 300), ("CANDIDATES", 50)):
+        monkeypatch.setattr(images, name, value)
+        found.append({(r["query"], r["image"]): r["inliers"] for r in images.image_copies(asked, index).collect()})
+    assert found[0] == found[1] == found[2] and set(found[0]) - {("2", None), ("5", None)} == want - {("2", None), ("5", None)}
+    assert images.image_copies(asked.limit(0), index).collect() == images.image_copies(asked, index.limit(0)).collect() == []
+    classes = {(r["image"], r["class"]) for r in images.image_classes(index).collect()}
+    assert classes == {(0, 0), (1, 0), (0, 0), (2, 2), (None, 2), (3, 3), (9, 3)}
+
+
+def by_hand_votes(query, image):
+    """The most corners that agree on a placement, by brute force over pairs of corners and bins."""
+    a, b = images.corners_of(*query.shape, query.tobytes()), images.corners_of(*image.shape, image.tobytes())
+    apart = np.array([[sum(int(x ^ y).bit_count() for x, y in zip(p["words"], q["words"], strict=True)) for q in b] for p in a])
+    near = np.array([[any((int(p["words"][k // 2] ^ q["words"][k // 2]) >> 16 * (k % 2) & 0xFFFF).bit_count() <= 1 for k in range(8)) for q in b] for p in a])
+    apart = np.where(near & (apart <= images.MAX_DISTANCE), apart, 999)
+    bins = {}
+    for i, j in zip(*np.nonzero(apart < 999), strict=True):
+        if apart[i, j] != apart[i].min() or apart[i, j] != apart[:, j].min():
+            continue
+        turn, step = (int(b[j]["angle"]) - int(a[i]["angle"])) % 24, int(b[j]["level"]) - int(a[i]["level"])
+        t, z = turn * 2 * np.pi / 24, (1 / 0.5**0.5) ** step
+        x = b[j]["x"] - z * (np.cos(t) * a[i]["x"] - np.sin(t) * a[i]["y"])
+        y = b[j]["y"] - z * (np.sin(t) * a[i]["x"] + np.cos(t) * a[i]["y"])
+        halves = lambda v, w: (int(np.floor(v / w)) * 2, int(np.floor(v / w + 0.5)) * 2 - 1)
+        for bx in halves(x, 12):
+            for by in halves(y, 12):
+                for bt in halves(turn, 4):
+                    bins.setdefault((bx, by, bt % 12, step), []).append((i, j))
+    return max((min(len({i for i, _ in m}), len({j for _, j in m})) for m in bins.values()), default=0)
+
+
+def test_votes_equal_brute_force(spark):
+    base = {i: scene(i, (90, 90)) for i in range(3)}
+    edits = {10: np.rot90(base[0]).copy(), 11: base[1][8:, 5:].copy(), 12: noisy(base[2])}
+    got = {(r["query"], r["image"]): r["inliers"] for r in images.image_copies(table_of(spark, edits), table_of(spark, base), min_inliers=1).collect()}
+    want = {(q, d): by_hand_votes(x, y) for q, x in edits.items() for d, y in base.items()}
+    assert got == {p: n for p, n in want.items() if n} and min(got[i + 10, i] for i in range(3)) >= 6
+
+
 def test_tables_meet_what_brute_force_finds(spark):
     base = {i: scene(i) for i in range(8)}
     edits = {100 * k + i: f(x) for i, x in base.items() for k, f in enumerate((noisy, encoded, lambda x: resized(x, 0.9), lambda x: x[50:130, 50:130]), 1)}
