@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import bitmaps
 from . import kernels as K
-from .scratch import materialise
+from .scratch import materialise, passing
 
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
@@ -146,13 +147,28 @@ def quality_rules(docs: DataFrame, text: str = "text", host: str = "source", kee
     )
 
 
+#: Bits of the map of rejected hosts (8 MB, whatever their number).
+MAP_BITS = 1 << 26
+
+
 def keep_good(docs: DataFrame, text: str = "text", host: str = "source", max_rate: float = MAX_HOST_RATE) -> DataFrame:
-    """The documents that ``quality_rules`` keeps, with all their columns."""
-    columns = docs.columns
-    verdicts = host_verdicts(materialise(with_rule_counts(docs, text, [host]), "quality"), host, max_rate)
-    counted = with_rule_counts(docs, text, columns)
-    joined = counted.join(verdicts.select("_host", "host_ok"), counted[host].eqNullSafe(verdicts["_host"]), "left")
-    return joined.filter(~failures()["base_failed"] & F.coalesce("host_ok", F.lit(True))).select(*columns)
+    """The documents that ``quality_rules`` keeps, with all their columns, whatever their names.
+
+    Texts stay where they are: a map of bits tells which rows may belong to a rejected host, and only those are joined
+    with the rejected hosts; without any, there is no join.
+    """
+    mine = [f"_c{i}" for i in range(len(docs.columns))]
+    renamed = docs.toDF(*mine)
+    text, host = (mine[docs.columns.index(c)] for c in (text, host))
+    with passing() as keep:
+        verdicts = host_verdicts(materialise(with_rule_counts(renamed, text, [host]), "quality"), host, max_rate)
+        rejected = keep(materialise(verdicts.filter("NOT host_ok").select("_host"), "rejected"))
+    good = with_rule_counts(renamed, text, mine).filter(~failures()["base_failed"]).select(*mine)
+    if not rejected.isEmpty():
+        spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
+        good, asked = bitmaps.split(good, spot(host), bitmaps.pages(rejected.select(spot("_host").alias("at")), "at"))
+        good = good.unionByName(asked.join(rejected, asked[host].eqNullSafe(rejected["_host"]), "left_anti"))
+    return good.toDF(*docs.columns)
 
 
 def op10_quality_hosts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -170,3 +170,47 @@ def test_chats_round_trip(spark):
     assert back(2) == [("us>er", "first"), ("assistant", "second")] and got[2]["loss"] == "second"
     assert back(3) == [("", "")] and back(None) == [("user", "x")] and back(4) == [("user", "same")] * 2
     assert chat.format_chats(turns.limit(0)).collect() == []
+
+
+def test_good_documents_of_good_hosts_stay_with_any_columns(spark):
+    fine = " ".join(f"word{i}" for i in range(12))
+    rows = [(i, fine if i % 4 == 0 else "bad", "spam", True, "x") for i in range(400)] + [(1000 + i, fine if i % 50 else "bad", h, False, "y") for i in range(300) for h in ("a", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, host_ok boolean, _host string")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns
+    assert Counter(tuple(r) for r in kept.collect()) == Counter(r for r in rows if r[2] != "spam" and r[1] == fine)
+    assert quality.keep_good(docs.limit(0)).collect() == []
+
+
+def test_every_notice_is_found_where_it_stands(spark):
+    notices = [*licenses.BASE, *licenses.NOTICES]
+    rows = [(i, "Über x " * i + " -- ".join(n.words).upper() + " tail") for i, n in enumerate(notices)]
+    rows += [(1000, "\n".join(t for _, t in rows)), (1001, None), (1002, "license"), (1003, "mit mit license license"), (1004, "mit mit license license")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for r in licenses.license_scan(docs).collect():
+        assert got.setdefault(r["doc_id"], r) == r
+    for i, n in enumerate(notices):
+        hits = [x for x in got[i]["found"] if x["label"] == n.label]
+        assert any(x["start"] == 2 * i + n.key and x["coverage"] == 1 and x["base"] == n.base for x in hits), n.label
+    assert {x["label"] for x in got[1000]["found"]} == {n.label for n in notices}
+    assert [got[i]["found"] for i in (1001, 1002)] == [[], []] and got[1001]["n_words"] == 0
+    assert [(x["label"], x["start"]) for x in got[1003]["found"]] == [("mit", 1)]
+    assert licenses.license_scan(docs.limit(0)).collect() == []
+    with pytest.raises(ValueError, match="n_words"):
+        licenses.license_scan(docs.withColumn("n_words", docs.doc_id), keep=("doc_id", "n_words"))
+
+
+def test_a_cut_header_needs_its_phrase_and_most_of_its_words(spark):
+    whole = next(n for n in licenses.NOTICES if n.label == "mit-text").words
+    cut = lambda *spoilt: " ".join("x" if i in spoilt else w for i, w in enumerate(whole))
+    docs = spark.createDataFrame([(0, cut(0, 1, 2)), (1, cut(*range(12))), (2, cut(*range(22))), (3, cut(40)), (4, " ".join(whole[30:]))], "doc_id long, text string")
+    found = {r["doc_id"]: {x["label"]: x["coverage"] for x in r["found"]} for r in licenses.license_scan(docs).collect()}
+    assert found[0]["mit-text"] == pytest.approx(1 - 3 / len(whole)) and "mit-text" in found[1]
+    assert all("mit-text" not in found[i] for i in (2, 3, 4))
+
+
+def test_very_long_texts_are_scanned_to_their_end(spark):
+    docs = spark.createDataFrame([(1, "lorem ipsum, " * 400_000 + "MIT License; gnu general public license")], "doc_id long, text string")
+    row = licenses.license_scan(docs).first()
+    assert row["n_words"] == 800_006 and {(x["label"], x["start"]) for x in row["found"]} == {("mit", 800_000), ("gpl", 800_002)}
