@@ -61,14 +61,55 @@ def test_mixed_positions_equal_the_walk(spark):
     assert mixing.mix(docs.limit(0)).collect() == []
 
 
-def test_files_lie_in_mixed_order(spark, tmp_path):
-    docs = spark.createDataFrame([(i, f"s{i % 3}", "t") for i in range(500)], "doc_id long, source string, text string")
-    mixing.in_mixed_order(docs, rows_per_file=100).write.parquet(f"{tmp_path}/m")
+def in_file_order(spark, path):
     from pyspark.sql import functions as F
 
-    rows = spark.read.parquet(f"{tmp_path}/m").select("doc_id", F.col("_metadata.file_name").alias("f"), F.monotonically_increasing_id().alias("i")).collect()
-    position = {r["doc_id"]: r["mix_position"] for r in mixing.mix(docs).collect()}
-    assert [position[r["doc_id"]] for r in sorted(rows, key=lambda r: (r["f"], r["i"]))] == list(range(500))
+    rows = spark.read.parquet(path)
+    rows = rows.select("*", mixing.file_order(rows).alias("_f"), F.monotonically_increasing_id().alias("_i")).collect()
+    return sorted(rows, key=lambda r: (r["_f"], r["_i"]))
+
+
+@pytest.mark.parametrize("block, file_bytes, cuts", [(32, 128 << 20, 2_000_000), (4, 600, 2_000_000), (4, 600, 30)])
+def test_files_lie_in_mixed_order(spark, tmp_path, monkeypatch, block, file_bytes, cuts):
+    monkeypatch.setattr(mixing, "MAX_CUTS", cuts)
+    rows = [(i if i % 9 else None, "hot" if i % 3 else f"s{i % 7}", "t" * (i % 5), i) for i in range(600)]
+    rows += [(7, None, "same", 7)] * 120 + [(1, "", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string, _metadata int").repartition(3)
+    targets = {"hot": 3.0, "s3": 1.0, None: 1.0}
+    mixing.in_mixed_order(docs, targets, block=block, file_bytes=file_bytes).write.parquet(f"{tmp_path}/m")
+    got = in_file_order(spark, f"{tmp_path}/m")
+    assert Counter((r["doc_id"], r["source"], r["text"], r["_metadata"]) for r in got) == Counter(rows)
+    plan = mixing.plan_sources(docs.select(mixing._key(docs.source).alias("_s")), targets, mixing.PERIOD)
+    slots = {k[1:] if k else None: int(w) for k, w in zip(plan.keys, plan.weight, strict=True)}
+    sources = {s: [s] * sum(r[1] == s for r in rows) for s in slots}
+    assert [r["source"] for r in got] == [s for s, _ in by_hand(sources, slots, block)]
+
+
+def test_numbers_of_files_sort_beyond_99999(spark, tmp_path):
+    import os
+
+    for n in (99_999, 100_000, 7, 1_234_567):
+        spark.createDataFrame([(n,)], "n long").coalesce(1).write.parquet(f"{tmp_path}/one")
+        name = next(f for f in os.listdir(tmp_path / "one") if f.startswith("part-"))
+        os.makedirs(tmp_path / "all", exist_ok=True)
+        os.rename(tmp_path / "one" / name, tmp_path / "all" / name.replace("part-00000", f"part-{n:05d}"))
+        __import__("shutil").rmtree(tmp_path / "one")
+    assert [r["n"] for r in in_file_order(spark, f"{tmp_path}/all")] == [7, 99_999, 100_000, 1_234_567]
+
+
+def test_fifty_thousand_sources(spark):
+    from pyspark.sql import functions as F
+
+    n = 50_000
+    docs = spark.range(2 * n).select(F.col("id").alias("doc_id"), F.when(F.col("id") < n, F.concat(F.lit("s"), F.col("id"))).otherwise("hot").alias("source"))
+    out = mixing.mix(docs).agg(F.count("*"), F.countDistinct("mix_position"), F.min("mix_position"), F.max("mix_position"), F.count_if(F.expr("mix_slot < mix_release OR mix_slot >= mix_deadline"))).first()
+    assert tuple(out) == (2 * n, 2 * n, 0, 2 * n - 1, 0)
+
+
+def test_columns_of_added_names_are_replaced(spark):
+    docs = spark.createDataFrame([(1, "a", 5), (2, "a", 6)], "doc_id long, source string, mix_position int")
+    out = mixing.mix(docs)
+    assert out.columns == ["doc_id", "source", *mixing.ADDED] and sorted(r["mix_position"] for r in out.collect()) == [0, 1]
 
 
 def ids_by_hand(text):
