@@ -9,9 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from tallyloom.llm import jaccard, langid, mixing, packing, quality
 from tallyloom.llm.scratch import bound_batches, materialise
@@ -41,19 +39,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.in_mixed_order(docs)
 
 
-def _file_order(docs: DataFrame) -> Column | None:
-    """The place of a row's split among the files, or none where rows do not come from files."""
-    try:
-        docs.select("_metadata.file_name")
-    except AnalysisException:
-        return None
-    return F.concat(F.col("_metadata.file_name"), F.lit("@"), F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"))
-
-
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 2048 tokens, documents ranked as mixing laid them down."""
     bound_batches(spark)
-    return packing.pack(docs, packing.tokenizer_path(), order=_file_order(docs))
+    return packing.pack(docs, packing.tokenizer_path(), order=mixing.file_order(docs))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
