@@ -49,11 +49,12 @@ def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def join_dealt(rows: DataFrame, table: DataFrame, key: str, spread: str, n: int) -> DataFrame:
+def join_dealt(rows: DataFrame, table: DataFrame, key: str, spread: str, n: int, counts: DataFrame | None = None) -> DataFrame:
     """``rows`` (about ``n`` of them) joined with a table that has a row for each ``key``, without all rows of a hub in
-    one task: those are dealt by a hash of ``spread``, and the hub's row of the table is repeated for each share."""
+    one task: those are dealt by a hash of ``spread``, and the hub's row of the table is repeated for each share.
+    ``counts`` has the rows of each key as ``_n``, if they are known."""
     most = max(HUB, n // HUB_SHARE)
-    counts = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most).collect()
+    counts = (rows.groupBy(key).agg(F.count("*").alias("_n")) if counts is None else counts).filter(F.col("_n") > most).select(key, "_n").collect()
     if not counts:
         return rows.join(table, key)
     kind = rows.schema[key].dataType.simpleString()
