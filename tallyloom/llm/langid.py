@@ -26,12 +26,14 @@ from . import kernels as K
 GRAM = 4
 BUCKETS = 1 << 15
 MAX_LANGUAGES = 128
-#: Margins are mean log-odds times at most this many n-grams: long texts do not become certain by length alone.
+#: N-grams of a text depend on each other, so a text counts as this many independent ones at most: margins are mean
+#: log-odds times that, and long texts do not become certain by length alone.
 EVIDENCE = 40.0
-#: A best posterior under this is ambiguous.
+#: A best posterior under this is ambiguous.  ``keep_identified`` asks it of the mean log-odds at EVIDENCE n-grams, a rule
+#: that does not depend on a text's length.
 CLEAR = 0.6
-#: Ambiguous texts with so many letters are rejected by ``keep_identified``.
-ENOUGH_LETTERS = 200
+#: N-grams whose weights are summed at a time.
+SLICE = 1 << 16
 UNDETERMINED = "und"
 
 _ASCII_LETTER = np.zeros(256, bool)
@@ -127,9 +129,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang") -> Model:
     return Model(languages, code, weights, reliability / reliability.max())
 
 
-def _decode(model: Model, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Best language and its posterior for each row of summed margins."""
-    scaled = margins / np.maximum(n, 1)[:, None] * np.minimum(np.maximum(n, 0), EVIDENCE)[:, None]
+def _decode(model: Model, margins: np.ndarray, n: np.ndarray, evidence: float = EVIDENCE) -> tuple[np.ndarray, np.ndarray]:
+    """Best language and its posterior for each row of margins summed over n n-grams, which count as ``evidence`` at most."""
+    scaled = margins / np.maximum(n, 1)[:, None] * np.minimum(np.maximum(n, 0), evidence)[:, None]
     loss = (np.logaddexp(0, -scaled[:, None, :] * model.code[None]) * model.reliability).sum(2)
     score = np.exp(loss.min(1, keepdims=True) - loss)
     score /= score.sum(1, keepdims=True)
@@ -137,11 +139,24 @@ def _decode(model: Model, margins: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return best, score[np.arange(len(best)), best]
 
 
+def _sums(weights: np.ndarray, codes: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of the weights of codes[a:b] for each pair of bounds, SLICE codes at a time."""
+    out = np.zeros((len(a), weights.shape[1]))
+    for lo in range(0, len(codes), SLICE):
+        part = np.zeros((min(SLICE, len(codes) - lo) + 1, weights.shape[1]))
+        np.cumsum(weights[codes[lo : lo + SLICE]], axis=0, out=part[1:], dtype=np.float64)
+        out += part[np.clip(b - lo, 0, len(part) - 1)] - part[np.clip(a - lo, 0, len(part) - 1)]
+    return out
+
+
 _LETTER = re.compile(r"[^\W\d_]")
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """``keep``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous`` and ``n_letters`` of every whole text.
+    """``keep``, ``lang_pred``, ``score`` (0 to 1), ``ambiguous``, ``n_letters`` and ``fits`` of every whole text.
+
+    ``fits`` asks whether the text's n-grams are those of the language on average, whatever their number.  A long text is
+    read whole, in slices; beside it a task holds some 20 bytes for each of its bytes.
 
     A null text, an empty one and one without a letter give ``und`` with score 0, as does a model without languages.
     A text shorter than an n-gram has no evidence: the first codeword at an even score, flagged ambiguous.  Rows that
@@ -151,7 +166,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
     at = keep.index(text) if text in keep else len(keep)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
-    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("n_letters", T.LongType())])
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType()), T.StructField("n_letters", T.LongType()), T.StructField("fits", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -159,16 +174,18 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
         for batch in batches:
             column = batch.column(at)
             size = batch.num_rows
-            best, score, letters = np.full(size, len(m.languages)), np.zeros(size), np.zeros(size, np.int64)
+            best, score, letters, fits = np.full(size, len(m.languages)), np.zeros(size), np.zeros(size, np.int64), np.zeros(size, bool)
             for chunk in K.chunks(column, lower=True, size=K.CHUNK // 2):
                 rows = slice(chunk.first, chunk.first + chunk.n)
-                total = np.zeros((len(chunk.data) + 1, m.weights.shape[1]))
                 codes = grams(chunk.data)
-                np.cumsum(m.weights[codes], axis=0, out=total[1 : len(codes) + 1], dtype=np.float64)
                 a, b = gram_bounds(chunk)
                 b = np.minimum(b, len(codes))
                 a = np.minimum(a, b)
-                best[rows], score[rows] = _decode(m, total[b] - total[a], b - a) if m.languages else (0, 0)
+                if m.languages:
+                    margins = _sums(m.weights, codes, a, b)
+                    best[rows], score[rows] = _decode(m, margins, b - a)
+                    # too short for an n-gram: nothing speaks against the text
+                    fits[rows] = (b == a) | (_decode(m, margins * (EVIDENCE / np.maximum(b - a, 1))[:, None], np.full(len(a), EVIDENCE))[1] >= CLEAR)
                 letters[rows] = chunk.per_doc(_ASCII_LETTER[chunk.data])
                 high = chunk.per_doc(_HIGH[chunk.data])
                 for i in np.flatnonzero((letters[rows] == 0) & (high > 0)):
@@ -177,7 +194,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text", keep: Sequence[s
                 letters[rows] += np.where(letters[rows] > 0, high, 0)
             none = letters == 0
             best[none], score[none] = len(m.languages), 0
-            out = [pa.array(names[best], pa.string()), pa.array(score), pa.array((score < CLEAR) & ~none), pa.array(letters, pa.int64())]
+            out = [pa.array(names[best], pa.string()), pa.array(score), pa.array((score < CLEAR) & ~none), pa.array(letters, pa.int64()), pa.array(fits & ~none)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *out], names=schema.names)
 
     return docs.select(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(keep)], *([] if text in keep else [F.col(text).alias("_text")])).mapInArrow(run, schema)
@@ -189,11 +206,12 @@ def training_rows(docs: DataFrame, doc_id: str = "doc_id") -> Column:
 
 
 def keep_identified(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of the documents whose language is clear: ``und`` goes, and so do long texts that stay ambiguous."""
+    """All columns of the documents that a language fits: ``und`` goes, and so do texts of any length whose n-grams no
+    language accounts for better than the others."""
     columns = docs.columns
     renamed = docs.select(*[F.col(c).alias(f"_c{i}") for i, c in enumerate(columns)])
     seen = identify(renamed, model, f"_c{columns.index(text)}", renamed.columns)
-    good = seen.filter((F.col("lang_pred") != UNDETERMINED) & ~(F.col("ambiguous") & (F.col("n_letters") >= ENOUGH_LETTERS)))
+    good = seen.filter((F.col("lang_pred") != UNDETERMINED) & F.col("fits"))
     return good.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)])
 
 

@@ -216,7 +216,8 @@ def test_stages_by_brute_force(spark, sf):
     a = stages["language_id"](spark, docs, sf)
     model = langid.fit(docs.filter(langid.training_rows(docs)))
     seen = langid.identify(docs, model).collect()
-    assert sorted(r["doc_id"] for r in a.collect()) == sorted(r["doc_id"] for r in seen if r["lang_pred"] != "und" and not (r["ambiguous"] and r["n_letters"] >= langid.ENOUGH_LETTERS))
+    assert sorted(r["doc_id"] for r in a.collect()) == sorted(r["doc_id"] for r in seen if r["lang_pred"] != "und" and r["fits"])
+    assert a.count() > 0.95 * docs.filter("lang IS NOT NULL").count()
     b = stages["quality_rules"](spark, a, sf)
     kept = {r["doc_id"] for r in quality.quality_rules(a).filter("kept").collect()}
     assert {r["doc_id"] for r in b.collect()} == kept and len(kept) > 0.5 * docs.count()

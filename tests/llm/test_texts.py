@@ -62,7 +62,7 @@ def test_suffix_tree_scores_and_beats_its_root(spark, sf):
     tree = suffix_lm.fit_tree(suffix_lm.corpus_counts(docs.filter(~suffix_lm.held_out())))
     assert len(tree.child) > 50
     assert np.allclose((10.0 ** tree.log_p.astype(float)).sum(1), 1, atol=1e-3)
-    scores = {r["doc_id"]: r["score"] for r in suffix_lm.lm_score(docs, training=~suffix_lm.held_out()).collect()}
+    scores = {r["doc_id"]: r["score"] for r in suffix_lm.lm_score(docs, training=~suffix_lm.held_out(), anchors=1 << 62).collect()}
     gain = 0.0
     for i, t in texts(spark, sf)[:60]:
         assert scores[i] == pytest.approx(tree_by_hand(tree, t), rel=1e-4)
@@ -71,6 +71,99 @@ def test_suffix_tree_scores_and_beats_its_root(spark, sf):
     assert gain > 0
 
 
+def test_the_tree_equals_brute_force(spark, sf):
+    rows = [t for _, t in texts(spark, sf)[:40]]
+    tree = suffix_lm.fit_tree(suffix_lm.corpus_counts(spark.createDataFrame([(t,) for t in rows], "text string").repartition(3)), min_share=2e-3)
+    seen = {}
+    for t in rows:
+        data = [suffix_lm.END] * 4 + list(" ".join(WORD.findall(lower(t))).encode()) + [suffix_lm.END]
+        for i in range(4, len(data)):
+            for d in range(5):
+                seen.setdefault(tuple(data[i - d : i]), Counter())[data[i]] += 1
+    total = sum(seen[()].values())
+    tried = {c: n for c, n in seen.items() if not c or sum(n.values()) >= max(2, total * 2e-3)}
+    p, stays = {}, {()}
+    for c in sorted(tried, key=len):
+        n, size = tried[c], sum(tried[c].values())
+        if not c:
+            p[c] = [(n[b] + 1) / (size + 256) for b in range(256)]
+            continue
+        above = p[c[1:]]
+        p[c] = [(n[b] + len(n) * above[b]) / (size + len(n)) for b in range(256)]
+        if sum(k * math.log(k / size / above[b]) for b, k in n.items()) > suffix_lm.CUT * len(n):
+            stays |= {c[i:] for i in range(len(c))}
+    found = {}
+
+    def walk(node, context):
+        found[context] = 10.0 ** tree.log_p[node].astype(float)
+        for b in np.flatnonzero(tree.child[node] >= 0).tolist():
+            walk(tree.child[node, b], (b, *context))
+
+    walk(0, ())
+    assert set(found) == stays and len(stays) > 100 and len(stays) < len(tried)
+    assert all(np.allclose(found[c], p[c], rtol=1e-4) for c in stays)
+
+
+def test_word_contexts_equal_brute_force(spark, monkeypatch):
+    phrase = "one rare turn of phrase that stays the same"
+    rows = [(i, f"start {i} the cat and the dog {phrase} then {'x' * (i % 4)} end{i}") for i in range(30)] + [(40, ""), (41, None), (42, "a"), (43, "a b"), (44, f"{phrase}"), (44, f"{phrase}"), (None, "the cat and the dog " * 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    tree = suffix_lm.fit_tree(suffix_lm.corpus_counts(docs.filter(~suffix_lm.held_out())))
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    counts, by_bytes, each = {}, {}, []
+    for i, t in rows:
+        words = WORD.findall(lower(t))
+        grams = []
+        for k in range(2, len(words)):
+            context, word = tuple(words[k - 2 : k]), (words[k], k == len(words) - 1)
+            data = [suffix_lm.END] * 4 + list((" ".join(words[:k]) + " ").encode())
+            log_p = 0.0
+            for b in [*words[k].encode(), suffix_lm.END if word[1] else 32]:
+                node = 0
+                for d in range(1, tree.depth + 1):
+                    if (child := tree.child[node, data[-d]]) < 0:
+                        break
+                    node = child
+                log_p += float(tree.log_p[node, b])
+                data.append(b)
+            by_bytes[context, word] = log_p
+            grams.append((context, word))
+            if not held(i):
+                counts.setdefault(context, Counter())[word] += 1
+        each.append((i, t, grams))
+    kept = {}
+    for c, n in counts.items():
+        size = sum(n.values())
+        if size >= 2 and sum(k * (math.log(k / size) - by_bytes[c, w] * math.log(10)) for w, k in n.items()) > suffix_lm.CUT * len(n):
+            kept[c] = (size, len(n))
+    want = Counter()
+    for i, t, grams in each:
+        score, deep = tree_by_hand(tree, t), 0
+        for c, w in grams:
+            if c in kept:
+                size, kinds = kept[c]
+                score += math.log10((counts[c][w] * 10 ** -by_bytes[c, w] + kinds) / (size + kinds))
+                deep += 1
+        want[i, round(score, 3), deep] += 1
+    monkeypatch.setattr(suffix_lm, "FREQUENT", 0.01)
+    got = suffix_lm.lm_score(docs, training=~suffix_lm.held_out(), anchors=1).collect()
+    assert Counter((r["doc_id"], round(r["score"], 3), r["n_deep"]) for r in got) == want
+    assert 10 < len(kept) < len(counts)
+
+
+def test_what_is_gathered_grows_and_repeated_texts_score_apart(spark):
+    rng = np.random.default_rng(3)
+    words = ["".join(chr(97 + x) for x in rng.integers(0, 26, 7)) for _ in range(4000)]
+    text = lambda: " ".join(rng.choice(words, 120))
+    rows = [(i, text()) for i in range(60)]
+    rows += [(100 + i, t) for i, t in rows[:20]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["score"] / r["n_tokens"] for r in suffix_lm.lm_score(docs, anchors=4).collect()}
+    assert max(out[i] for i in range(20, 60)) < min(out[i] for i in range(20))
+    kept = [sum(r["n_deep"] for r in suffix_lm.lm_score(docs.filter(f"doc_id % 100 < {n}"), anchors=4).collect()) for n in (5, 10, 20)]
+    assert 0 < 1.5 * kept[0] < kept[1] and 1.5 * kept[1] < kept[2]
+
+
 def test_lm_empty_table_and_no_training(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert suffix_lm.lm_score(empty).collect() == []
@@ -90,6 +183,43 @@ def test_languages_of_held_out_documents(spark, sf):
     assert right >= 0.95 * n
 
 
+def test_margins_and_decoding_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SLICE", 7)
+    learn = [("de", "Der die das und ist nicht ein eine"), ("en", "the and of to in is that it was"), ("fr", "le la les et est que une dans"), ("de", "kurz"), ("it", "il lo gli e che non una"), ("xx", "é")]
+    asked = ["the DER the", "gli che", "zz", "und", "une dans les", "ab"]
+    model = langid.fit(spark.createDataFrame(learn, "lang string, text string"))
+
+    def buckets(text):
+        data = lower(text).encode()
+        return [(int.from_bytes(data[i : i + 4], "big") * 0x9E3779B1 % 2**32) >> (32 - 15) for i in range(len(data) - 3)]
+
+    names = sorted({n for n, _ in learn if n != "xx"})
+    p = {}
+    for name in names:
+        counts = Counter(b for n, t in learn if n == name for b in buckets(t))
+        p[name] = lambda b, c=counts: (c[b] + 0.5) / (sum(c.values()) + 0.5 * 2**15)
+    code = langid.codewords(len(names))
+    bits = [([n for n, c in zip(names, code[:, k], strict=True) if c > 0], [n for n, c in zip(names, code[:, k], strict=True) if c < 0]) for k in range(code.shape[1])]
+    weight = lambda b, k: math.log(sum(p[n](b) for n in bits[k][0]) / len(bits[k][0])) - math.log(sum(p[n](b) for n in bits[k][1]) / len(bits[k][1]))
+    assert model.languages == names
+    out = langid.identify(spark.createDataFrame(list(enumerate(asked)), "i int, text string"), model, keep=("i",)).collect()
+    for r in out:
+        found = buckets(asked[r["i"]])
+        loss = []
+        for row in range(len(names)):
+            margins = [sum(weight(b, k) for b in found) / max(1, len(found)) * min(len(found), langid.EVIDENCE) for k in range(len(bits))]
+            loss.append(sum(math.log1p(math.exp(-m * code[row, k])) * model.reliability[k] for k, m in enumerate(margins)))
+        share = [math.exp(min(loss) - x) for x in loss]
+        assert r["lang_pred"] == names[loss.index(min(loss))] and r["score"] == pytest.approx(max(share) / sum(share), rel=1e-4)
+
+
+def test_long_texts_are_read_whole(spark):
+    model = langid.fit(spark.createDataFrame([("de", "der die das und ist nicht ein eine "), ("en", "the and of to in is that it was ")], "lang string, text string"))
+    rows = [(1, "der die das " * 200_000 + "the and of " * 100_000), (2, "der die das " * 100_000 + "the and of " * 200_000)]
+    out = {r["i"]: r["lang_pred"] for r in langid.identify(spark.createDataFrame(rows, "i int, text string"), model, keep=("i",)).collect()}
+    assert out == {1: "de", 2: "en"}
+
+
 def test_language_edges(spark):
     rows = [("de", "der die das und ist nicht ein eine " * 3), ("en", "the and of to in is that it was " * 3), ("fr", "le la les et est que une dans " * 3), (None, "zzz")]
     model = langid.fit(spark.createDataFrame(rows, "lang string, text string"))
