@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare, money, texts
+from . import compare, functions, money, texts
 
-QUERIES = money.QUERIES | compare.QUERIES | texts.QUERIES
-ORACLES = money.ORACLES | compare.ORACLES | texts.ORACLES
+QUERIES = functions.QUERIES | money.QUERIES | compare.QUERIES | texts.QUERIES
+ORACLES = functions.ORACLES | money.ORACLES | compare.ORACLES | texts.ORACLES
