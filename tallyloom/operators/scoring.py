@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.amounts import loose_amount, parse_pure
 from ..functions.dates import normalise_date
 from ..functions.identifiers import clean_fiscal_id, is_placeholder
-from ..functions.text import letters_and_digits, match_tokens, strip, text_of
+from ..functions.text import bound, letters_and_digits, match_tokens, strip, text_of
 
 STATES = ("exact", "normalized", "mismatch", "missing", "forbidden")
 #: Weights of a field's reliability.
@@ -63,12 +63,18 @@ def score_report(scores: DataFrame) -> DataFrame:
 def reliability(value: Column, has_page: Column, checksum: Column, dated: Column, seen: Column, affinity: Column) -> Column:
     """struct(score, checks): a weighted sum, at most 1, of what speaks for a value; 0 for a placeholder."""
     parts = {"evidence": has_page, "checksum": checksum | clean_fiscal_id(value).isNotNull(), "recency": dated, "documents": F.coalesce(seen >= 2, F.lit(False)), "affinity": affinity.isNotNull()}
-    total = F.lit(0.0)
-    for name, test in parts.items():
-        total = total + F.when(F.coalesce(test, F.lit(False)), F.lit(WEIGHTS[name])).otherwise(F.lit(0.0))
-    checks = F.array_compact(F.array(*[F.when(test, name) for name, test in parts.items()]))
     good = ~is_placeholder(value)
-    return F.struct(F.when(good, F.round(F.least(total, F.lit(1.0)), 2)).otherwise(F.lit(0.0)).alias("score"), F.when(good, checks).otherwise(F.array().cast("array<string>")).alias("checks"))
+
+    def weigh(flags: Column) -> Column:
+        total, names = F.lit(0.0), []
+        for i, name in enumerate(parts):
+            said = F.get(flags, F.lit(i))
+            total = total + F.when(said, F.lit(WEIGHTS[name])).otherwise(F.lit(0.0))
+            names.append(F.when(said, name))
+        return F.struct(F.round(F.least(total, F.lit(1.0)), 2).alias("score"), F.array_compact(F.array(*names)).alias("checks"))
+
+    none = F.struct(F.lit(0.0).alias("score"), F.array().cast("array<string>").alias("checks"))
+    return F.when(good, bound(F.array(*[F.coalesce(test, F.lit(False)) for test in parts.values()]), weigh)).otherwise(none)
 
 
 def doubtful(fields: DataFrame, below: float = 0.5, most: int = 8) -> DataFrame:

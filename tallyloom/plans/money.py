@@ -65,6 +65,13 @@ def integrity_checks(spark, d):
     return premium.integrity(premium.compute(lines(spark, d), RULES))
 
 
+def integrity_of_spoilt_rows(spark, d):
+    """The four checks on a report with missing amounts and wrong totals."""
+    computed = premium.compute(lines(spark, d), RULES)
+    spoilt = computed.withColumn("gross", F.when(F.col("row_id") % 97 > 0, F.col("gross"))).withColumn("total", F.when(F.col("row_id") % 5 == 0, F.col("total") + 1).when(F.col("row_id") % 31 > 0, F.col("total")))
+    return premium.integrity(spoilt)
+
+
 def grand_total(spark, d):
     return premium.grand_total(premium.compute(lines(spark, d), RULES)).select(*_doubles("grand_total"))
 
@@ -117,7 +124,7 @@ def record_errors(spark, d):
     return rows.select("c_custkey", F.array_join(F.transform(records.errors(rules), lambda e: F.concat_ws(":", e["field"], e["error"])), ";").alias("errors")).filter("errors <> ''")
 
 
-QUERIES = {f.__name__: f for f in (gross_amount_rows, premium_gross, rounding_tie_report, policy_totals, rollup_by_label, unknown_label_report, integrity_checks, grand_total, formula_price, checksum_valid, expiry_bucket, expiry_groups, renew_dates, next_identifier, parse_amounts, record_errors)}
+QUERIES = {f.__name__: f for f in (gross_amount_rows, premium_gross, rounding_tie_report, policy_totals, rollup_by_label, unknown_label_report, integrity_checks, integrity_of_spoilt_rows, grand_total, formula_price, checksum_valid, expiry_bucket, expiry_groups, renew_dates, next_identifier, parse_amounts, record_errors)}
 _TOTAL = "max(CASE WHEN gross IS NOT NULL THEN row_id END) OVER (PARTITION BY l_orderkey)"
 ORACLES = {
     "gross_amount_rows": _BASE + "SELECT row_id, rate::DOUBLE AS rate, net::DOUBLE AS net, gross::DOUBLE AS gross FROM g WHERE l_returnflag = 'R'",
@@ -127,6 +134,11 @@ ORACLES = {
     "rollup_by_label": "SELECT p_type AS label, count(*) AS n FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1",
     "unknown_label_report": _BASE + "SELECT p_type AS label, count(*) AS n, list_sort(list(row_id))[1:8] AS examples FROM g WHERE l_returnflag = 'R' AND NOT known GROUP BY 1",
     "integrity_checks": "SELECT unnest(['gross_where_due', 'one_total', 'total_on_last_row', 'total_is_sum']) AS name, true AS ok, 0::BIGINT AS failures",
+    "integrity_of_spoilt_rows": _BASE + f""", t AS (SELECT *, CASE WHEN row_id = {_TOTAL} THEN sum(gross) OVER (PARTITION BY l_orderkey) END AS total FROM g),
+      s AS (SELECT row_id, l_orderkey, net, CASE WHEN row_id % 97 > 0 THEN gross END AS gross, CASE WHEN row_id % 5 = 0 THEN total + 1 WHEN row_id % 31 > 0 THEN total END AS total FROM t),
+      k AS (SELECT count(*) FILTER ((net IS NOT NULL) <> (gross IS NOT NULL)) AS a, count(total) <> (count(gross) > 0)::INT AS b, max(row_id) FILTER (total IS NOT NULL) IS DISTINCT FROM max(row_id) FILTER (gross IS NOT NULL) AS c, sum(gross) IS DISTINCT FROM max(total) AS d FROM s GROUP BY l_orderkey),
+      n AS (SELECT sum(a)::BIGINT AS a, count(*) FILTER (b) AS b, count(*) FILTER (c) AS c, count(*) FILTER (d) AS d FROM k)
+      SELECT unnest(['gross_where_due', 'one_total', 'total_on_last_row', 'total_is_sum']) AS name, unnest([a, b, c, d]) AS failures, unnest([a, b, c, d]) = 0 AS ok FROM n""",
     "grand_total": _BASE + "SELECT sum(gross)::DOUBLE AS grand_total FROM g",
     "formula_price": "SELECT p_partkey, round(greatest(p_retailprice, 15.0) * 1.05::DOUBLE + p_size % 7, 6)::DOUBLE AS price FROM part",
     "checksum_valid": """WITH c AS (SELECT c_custkey, lpad((c_custkey * 7919 + 12345678901)::VARCHAR, 11, '0') AS code FROM customer),

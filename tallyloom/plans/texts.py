@@ -155,6 +155,11 @@ ORACLES = {
     "point_ids": "WITH h AS (SELECT doc_id, sha1(source || '|' || doc_id) AS h FROM documents) SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-8' || h[18:20] || '-' || h[21:32] AS point FROM h",
     "page_pairs": """WITH o AS (SELECT o_orderkey AS page_id, printf('%.2f', o_totalprice) AS total, strftime(o_orderdate, '%d/%m/%Y') AS day FROM orders)
       SELECT page_id, 1 AS row, 'Order' AS label, page_id::VARCHAR AS value, NULL::INT AS "column" FROM o UNION ALL SELECT page_id, 1, 'Total', total, NULL FROM o UNION ALL SELECT page_id, 2, 'Opened', day, 10 FROM o""",
+    "page_batches": r"""WITH p AS (SELECT source, doc_id, text, len(regexp_replace(text, '[\s\x{00A0}]+', ' ', 'g')) AS u FROM documents WHERE trim(text, ' ') <> ''),
+      c AS (SELECT source, doc_id, CASE WHEN u > 20000 THEN left(text, 20000) ELSE text END AS t FROM p), d AS (SELECT source, doc_id, len(t) AS n, len(regexp_replace(t, '[\s\x{00A0}]+', ' ', 'g')) AS cost FROM c),
+      l AS (SELECT source, list_reduce(list({'cost': cost, 'done': []::BIGINT[], 'now': n::BIGINT, 'used': cost + 2} ORDER BY doc_id), lambda x, y: CASE WHEN x.used + y.cost + 2 > 20000
+        THEN {'cost': y.cost, 'done': list_append(x.done, x.now), 'now': y.now, 'used': y.cost + 2} ELSE {'cost': y.cost, 'done': x.done, 'now': x.now + 2 + y.now, 'used': x.used + y.cost + 2} END) AS s FROM d GROUP BY 1)
+      SELECT source, unnest(range(0, len(s.done) + 1))::INT AS batch, unnest(list_append(s.done, s.now))::INT AS chars FROM l""",
     "eval_score": """WITH a AS (SELECT doc_id, CASE WHEN n_chars % 11 = 0 THEN '' WHEN n_chars % 13 = 0 THEN '9' WHEN n_chars > 1000 THEN '1' ELSE '0' END AS v FROM documents),
       j AS (SELECT l.quality::VARCHAR AS e, nullif(a.v, '') AS v FROM labels l LEFT JOIN a USING (doc_id)),
       c AS (SELECT count(*) AS expected, count(*) FILTER (v = e) AS exact, 0::BIGINT AS normalized, count(*) FILTER (v <> e AND v <> '9') AS mismatch, count(*) FILTER (v IS NULL) AS missing, count(*) FILTER (v = '9') AS forbidden FROM j)
