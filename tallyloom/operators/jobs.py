@@ -54,7 +54,7 @@ def reuse_results(jobs: DataFrame, sources: DataFrame) -> DataFrame:
     return joined.select(*[(F.when(take, F.col("_result")).otherwise(F.col(c)) if c == "result" else F.when(take, F.lit("done")).otherwise(F.col(c)) if c == "status" else F.when(take, F.col("source_id")).otherwise(F.col(c)) if c == "duplicate_of" else F.col(c)).alias(c) for c in jobs.columns])
 
 
-def test_copies(jobs: DataFrame, ids: DataFrame, first_id: int) -> DataFrame:
+def trial_copies(jobs: DataFrame, ids: DataFrame, first_id: int) -> DataFrame:
     """New queued copies of the named jobs that point to their sources, which stay as they are."""
     picked = jobs.join(ids.select("id").distinct(), "id", "left_semi")
     new = picked.withColumn("source_job_id", F.col("id")).withColumn("id", F.lit(first_id) + F.col("id")).withColumn("status", F.lit("queued"))

@@ -85,8 +85,9 @@ def missing_amounts(computed: DataFrame) -> DataFrame:
 
 def tie_breaks(computed: DataFrame, rules: PremiumRules = USUAL_RULES) -> DataFrame:
     """Rows on a half cent, with the amount that the other rounding would give."""
-    other = "half_even" if rules.rounding == "half_up" else "half_up"
-    return computed.filter("tie").select("row_id", "guarantee", "net_premium", "gross", apply_rate(F.col("net"), F.col("rate"), other).alias("other"))
+    other = apply_rate(F.col("net"), F.col("rate"), "half_even" if rules.rounding == "half_up" else "half_up")
+    # a filter on ``tie`` would be pushed below the amounts and parse them a second time; a generator is not
+    return computed.select("row_id", "guarantee", "net_premium", "gross", F.explode(F.when(F.col("tie"), F.array(other))).alias("other"))
 
 
 def label_counts(rows: DataFrame, column: str) -> DataFrame:

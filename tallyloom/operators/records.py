@@ -129,10 +129,17 @@ def search(records: DataFrame, text: str, columns: Sequence[str], status: str |
 
 
 def by_expiry(records: DataFrame, end: str, now: Column, order: str = "row_id") -> DataFrame:
-    """(bucket, ids): records whose end falls into the month before, of or after ``now``, by end date."""
+    """(bucket, place, id): records whose end falls into the month before, of or after ``now``, numbered by end date.
+
+    A bucket is ranked month day by month day, so no task sorts a bucket as a whole: places within a day are shifted by
+    the counts of the days before, of which there are 31 at most in a bucket.
+    """
     d = to_date(F.col(end))
     rows = records.select(expiry_bucket(d, now).alias("bucket"), d.alias("end"), F.col(order).alias("id")).filter("bucket IS NOT NULL")
-    return rows.groupBy("bucket").agg(F.transform(F.array_sort(F.collect_list(F.struct("end", "id"))), lambda x: x["id"]).alias("ids"))
+    days = rows.groupBy("bucket", "end").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy("bucket").orderBy("end").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = rows.withColumn("_r", F.row_number().over(Window.partitionBy("bucket", "end").orderBy("id")))
+    return ranked.join(F.broadcast(days.select("bucket", "end", before.alias("_before"))), ["bucket", "end"]).select("bucket", (F.col("_before") + F.col("_r")).alias("place"), "id")
 
 
 def renew(records: DataFrame, ids: DataFrame, years: int = 1, start: str = "start", end: str = "end") -> DataFrame:

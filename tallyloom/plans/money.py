@@ -95,7 +95,7 @@ def expiry_bucket(spark, d):
 
 def expiry_groups(spark, d):
     orders = table(spark, d, "orders").select(F.col("o_orderkey").alias("row_id"), F.date_format("o_orderdate", "dd/MM/yyyy").alias("end"))
-    return records.by_expiry(orders, "end", F.lit("1997-06-15").cast("date")).select("bucket", F.size("ids").alias("n"), F.get("ids", F.lit(0)).alias("first_id"), F.md5(F.array_join(F.transform("ids", lambda x: x.cast("string")), ",")).alias("ids_md5"))
+    return records.by_expiry(orders, "end", F.lit("1997-06-15").cast("date"))
 
 
 def renew_dates(spark, d):
@@ -146,8 +146,7 @@ ORACLES = {
       SELECT c_custkey, code, (10 - t % 10) % 10 = code[11]::INT AND len(list_distinct(string_split(code[1:10], ''))) > 1 AS valid FROM s""",
     "expiry_bucket": "WITH m AS (SELECT o_orderkey, (year(o_orderdate) * 12 + month(o_orderdate)) - (1997 * 12 + 6) AS k FROM orders) SELECT o_orderkey, CASE k WHEN -1 THEN 'past' WHEN 0 THEN 'current' ELSE 'next' END AS bucket FROM m WHERE k BETWEEN -1 AND 1",
     "expiry_groups": """WITH m AS (SELECT o_orderkey, o_orderdate::DATE AS d, (year(o_orderdate) * 12 + month(o_orderdate)) - (1997 * 12 + 6) AS k FROM orders)
-      SELECT CASE k WHEN -1 THEN 'past' WHEN 0 THEN 'current' ELSE 'next' END AS bucket, count(*)::INT AS n, first(o_orderkey ORDER BY d, o_orderkey) AS first_id, md5(string_agg(o_orderkey::VARCHAR, ',' ORDER BY d, o_orderkey)) AS ids_md5
-      FROM m WHERE k BETWEEN -1 AND 1 GROUP BY 1""",
+      SELECT CASE k WHEN -1 THEN 'past' WHEN 0 THEN 'current' ELSE 'next' END AS bucket, row_number() OVER (PARTITION BY k ORDER BY d, o_orderkey) AS place, o_orderkey AS id FROM m WHERE k BETWEEN -1 AND 1""",
     "renew_dates": "SELECT o_orderkey, strftime((o_orderdate::DATE + INTERVAL 1 YEAR)::DATE, '%d/%m/%Y') AS renewed, strftime(date_trunc('month', o_orderdate)::DATE, '%d/%m/%Y') AS month, strftime((o_orderdate::DATE + INTERVAL 1 DAY)::DATE, '%d/%m/%Y') AS next_day FROM orders",
     "next_identifier": r"SELECT c_custkey, regexp_extract(c_name, '^(.*?)(\d+)$', 1) || lpad((regexp_extract(c_name, '(\d+)$', 1)::HUGEINT + 1)::VARCHAR, greatest(len(regexp_extract(c_name, '(\d+)$', 1)), len((regexp_extract(c_name, '(\d+)$', 1)::HUGEINT + 1)::VARCHAR))::INT, '0') AS next FROM customer",
     "parse_amounts": "SELECT p_partkey, translate(format('{:,.2f}', p_retailprice::DECIMAL(18,2)::DOUBLE), ',.', '.,') AS shown, p_retailprice::DECIMAL(18,2)::DOUBLE AS amount, p_retailprice::DECIMAL(18,2)::DOUBLE AS grouped, p_retailprice::DECIMAL(18,2)::DOUBLE AS pure FROM part",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import compare, functions, money, texts
+from . import compare, dossiers, functions, money, texts
 
-QUERIES = functions.QUERIES | money.QUERIES | compare.QUERIES | texts.QUERIES
-ORACLES = functions.ORACLES | money.ORACLES | compare.ORACLES | texts.ORACLES
+QUERIES = dossiers.QUERIES | functions.QUERIES | money.QUERIES | compare.QUERIES | texts.QUERIES
+ORACLES = dossiers.ORACLES | functions.ORACLES | money.ORACLES | compare.ORACLES | texts.ORACLES
