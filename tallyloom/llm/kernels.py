@@ -129,7 +129,8 @@ def rolled_shingles(hashes: np.ndarray, k: int) -> np.ndarray:
     multiplier = np.uint64(0xD6E8FEB86659FD93)
     rolled = hashes.copy()
     for i in range(1, k):
-        rolled[: len(rolled) - i] = rolled[: len(rolled) - i] * multiplier + hashes[i:]
+        whole = max(0, len(rolled) - i)  # a chunk may hold fewer words than a shingle
+        rolled[:whole] = rolled[:whole] * multiplier + hashes[i:]
     return mix(rolled)
 
 

@@ -110,6 +110,18 @@ def test_keep_one_leaves_one_of_each_group(spark):
     assert sum(r["doc_id"] is None for r in kept) == 1 and kept[0]["extra"] == "keep"
 
 
+def test_long_texts_are_compared_whole(spark):
+    words = [f"w{i * 7919 % 1_000_003}" for i in range(120_000)]
+    near, other = list(words), list(words)
+    for i in range(0, 120_000, 100):
+        near[i] = f"n{i}"
+    for i in range(60_000, 120_000):
+        other[i] = f"o{i}"
+    docs = spark.createDataFrame([(3, " ".join(words)), (2, " ".join(near)), (1, " ".join(other)), (4, "a b")], "doc_id long, text string").repartition(2)
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.ngram_jaccard(docs).collect()}
+    assert got == {(3, 119_996, 2), (2, 119_996, 2), (1, 119_996, 1), (4, 1, 4)}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert jaccard.ngram_jaccard(docs).collect() == []

@@ -251,6 +251,40 @@ def test_stages_take_anything(spark, sf, tmp_path):
         assert {p["doc_id"] for p in pieces} <= {1, None, 5, 6, 7} and (name == "none" or {1, 5} <= {p["doc_id"] for p in pieces})
 
 
+def test_stages_keep_columns_of_any_name_and_long_texts(spark, sf, tmp_path):
+    """Extra columns with the names that operators use, and a text of some megabytes."""
+    extra = ["host_ok", "_host", "mix_position", "_s", "_u", "_gone", "lang_pred", "n_words", "_c0", "_page", "component_id", "row_index"]
+    clean = " ".join(f"word{i} is quite plain" for i in range(8))
+    long_ = " ".join(f"token{i} is quite word{i * 3} and" for i in range(60_000))
+    rows = [(i, clean + f" number {i} and some more of its own {i * 7} {i * 13} {i * 17}", "en", "a" if i % 2 else "b", 10, *range(len(extra))) for i in range(20)] + [(50, long_, "en", "a", len(long_), *range(len(extra)))]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} int" for c in extra)
+    docs = spark.createDataFrame(rows, schema)
+    for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        out = stage(spark, docs, sf)
+        if i < 4:
+            assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", *extra]
+        out.write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        if i < 4:
+            kept = docs.collect()
+            assert 50 in {r["doc_id"] for r in kept} and all(tuple(r)[5:] == tuple(range(len(extra))) for r in kept)
+    whole = docs.filter("doc_id = 50").agg({"length": "sum", "doc_tokens": "max"}).first()
+    assert whole[0] == whole[1] > 300_000
+
+
+def test_attribution_of_long_texts_ties_and_clashing_columns(spark):
+    import public_tokenizers
+
+    text = "\n".join(f"line {i} of a long text" for i in range(40_000))
+    docs = spark.createDataFrame([(1, "s", text, 5, "x"), (2, "ab", "ab", 6, "y")], "doc_id long, source string, text string, n_tokens int, section string")
+    out = attribution.token_attribution(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, ("source", "text"))
+    rows = out.filter("doc_id = 1").agg({"n_tokens": "sum", "length": "sum", "*": "count"}).first()
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert rows["sum(n_tokens)"] == len(coder.encode("s\n" + text, add_special_tokens=False).ids) and rows["sum(length)"] == len("s\n" + text) and rows["count(1)"] == 40_001
+
+
 def test_run_applies_all_stages(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert set(out.columns) >= {"doc_id", "start", "length", "sequence_id", "offset"} and out.count() > 0
