@@ -137,10 +137,13 @@ def with_pairs(page: Column, pairs: Column) -> Column:
 
 
 def numeric_facts(pages: DataFrame, vocabulary: Mapping[str, Sequence[str]], text: str = "text", least: float = 50.0) -> DataFrame:
-    """(page_id, row, value, cats, value_key): amounts of lines with the categories that the line's words name."""
+    """(page_id, row, value, cats, value_key): amounts of lines with the categories that the line's words name.
+
+    The key is the rounded value as a double, as runs of digits may pass any integer; those past a double are no amounts.
+    """
     rows = pages.select("page_id", F.posexplode(lines(F.col(text))).alias("row", "line"))
     found = rows.select("page_id", "row", F.explode(amounts_in(F.col("line"))).alias("value"), categories(F.lower("line"), vocabulary).alias("cats"))
-    return found.filter(F.col("value") > least).withColumn("value_key", F.round("value").cast("long"))
+    return found.filter((F.col("value") > least) & (F.col("value") < float("inf"))).withColumn("value_key", F.round("value"))
 
 
 def facts_index(facts: DataFrame) -> DataFrame:

@@ -264,3 +264,10 @@ def test_plausible_amounts_round_like_their_sql(spark, tmp_path):
     base = duckdb.connect()
     base.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
     assert got == {(e, k): v for e, k, v in base.execute(dossier_plans.ORACLES["plausible_amounts"]).fetchall()}
+
+
+def test_numeric_facts_take_runs_of_digits_past_a_long(spark):
+    pages = [(1, "limit 12345678901234567890123\nlimit " + "9" * 400 + "\nlimit 77,4"), (2, "limit " + ".".join(["123"] * 30_000)), (3, "12345678901234567890123 and 77")]
+    facts = documents.numeric_facts(spark.createDataFrame(pages, "page_id long, text string"), {"limit": ["limit"]})
+    got = {(r["value_key"], r["pages"], r["facts"]) for r in documents.facts_index(facts).collect()}
+    assert got == {(12345678901234567890123.0, 2, 2), (77.0, 2, 2)}
