@@ -10,8 +10,8 @@ log-probability sums, at each symbol, the distribution of the longest suffix of
 That part of the tree is broadcast, so it has a bound.  Longer contexts, the two words before a word, are a stored table
 that grows with the corpus.  One of them stays if it was seen twice or more in training (a count, not a share) and if
 the words after it diverge, by more than CUT nats a kind, from what the bytes' contexts give for them.  After such a
-context a word has the probability of its counts there, smoothed (Witten-Bell) towards that of its bytes.  The contexts
-that are tried are those whose hash is a multiple of ANCHORS: the same ones in all documents, in training and scoring.
+context a word has the probability of its counts there, smoothed (Witten-Bell) towards that of its bytes.  All
+contexts are tried (``anchors`` above 1 tries those whose hash is a multiple of it, in training and scoring alike).
 Every (context, word) is joined with the table once a document; words after which nothing is known keep their bytes' score.
 
 The base needs the count of every word.  Words over FREQUENT of all tokens (at most 1 / FREQUENT of them) are broadcast
@@ -38,8 +38,8 @@ DEPTH = 4
 MIN_SHARE = 5e-5
 CUT = 3.0
 FREQUENT = 1e-6
-#: One of so many two-word contexts is tried; 1 tries all, for as many times the rows.
-ANCHORS = 16
+#: One of so many two-word contexts is tried; 1 tries all.
+ANCHORS = 1
 #: Words and grams of a task are sent on when so many distinct ones have gathered.
 FLUSH = 200_000
 END = 10

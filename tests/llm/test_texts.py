@@ -344,3 +344,11 @@ def test_very_long_texts_are_scanned_to_their_end(spark):
     docs = spark.createDataFrame([(1, "lorem ipsum, " * 400_000 + "MIT License; gnu general public license")], "doc_id long, text string")
     row = licenses.license_scan(docs).first()
     assert row["n_words"] == 800_006 and {(x["label"], x["start"]) for x in row["found"]} == {("mit", 800_000), ("gpl", 800_002)}
+
+
+def test_every_context_of_two_words_is_tried(spark):
+    docs = spark.createDataFrame([(i, " ".join(f"{w}{i % 40}" for w in ("one", "two", "three", "four", "five", "six"))) for i in range(400)], "doc_id long, text string")
+    deep = lambda **options: {r["doc_id"]: (r["n_deep"], round(r["score"], 9)) for r in suffix_lm.lm_score(docs, **options).collect()}
+    got = deep()
+    assert got == deep(anchors=1)
+    assert min(n for n, _ in got.values()) >= 1
