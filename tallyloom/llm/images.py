@@ -51,16 +51,27 @@ _disc = (_dx**2 + _dy**2 <= RADIUS**2).astype(np.float32)
 
 
 def _box(x: np.ndarray, r: int) -> np.ndarray:
-    """Mean over a (2r + 1)-square, edges repeated."""
-    for axis in (0, 1):
-        pad = [(r + 1, r) if i == axis else (0, 0) for i in (0, 1)]
-        total = np.cumsum(np.pad(x, pad, mode="edge"), axis=axis)
+    """Mean over a (2r + 1)-square, edges repeated; ``x`` may be a stack of tables, each taken by itself."""
+    for axis in (-2, -1):
         n = x.shape[axis]
-        hi, lo = (np.take(total, np.arange(n) + k, axis=axis) for k in (2 * r + 1, 0))
+        total = np.cumsum(np.take(x, np.clip(np.arange(-r - 1, n + r), 0, n - 1), axis=axis), axis=axis)
+        hi, lo = (total[..., 2 * r + 1 :, :], total[..., :n, :]) if axis == -2 else (total[..., 2 * r + 1 :], total[..., :n])
         x = (hi - lo) / (2 * r + 1)
     return x
 
 
+def _greatest_near(x: np.ndarray, r: int) -> np.ndarray:
+    """For each place the maximum over a (2r + 1)-square, with nothing beyond the edges."""
+    for _ in (0, 1):
+        x = np.pad(x, [(r, r), (0, 0)], constant_values=-np.inf)
+        n, size = len(x) - 2 * r, 1
+        while 2 * size <= 2 * r + 1:  # maxima of ``size`` places from each place on
+            x = np.maximum(x[: len(x) - size], x[size:])
+            size *= 2
+        x = np.maximum(x[:n], x[2 * r + 1 - size : n + 2 * r + 1 - size]).T
+    return x
+
+
 def _shrink(x: np.ndarray, scale: float) -> np.ndarray:
     """Resampled by linear interpolation; at a half that is the mean of four."""
     if scale == 1:
@@ -92,7 +103,7 @@ PROBES = np.array([0, *[1 << b for b in range(KEY_BITS)]])
 #: Corners of queries that are broadcast at a time (some 80 bytes each, with their places in the tables).
 QUERY_CORNERS = 1 << 18
 #: Pairs of descriptors that a task compares at a time.
-CANDIDATES = 1 << 20
+CANDIDATES = 1 << 16
 #: Bits of the map of images that equal another one (8 MB, whatever their number).
 MAP_BITS = 1 << 26
 
@@ -106,13 +117,9 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
             break
         smooth = _box(x, 1)
         gy, gx = np.gradient(smooth)
-        a, b, c = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
+        a, b, c = _box(np.stack([gx * gx, gy * gy, gx * gy]), 2)
         response = a * b - c * c - 0.05 * (a + b) ** 2
-        peak = response.copy()
-        for axis in (0, 1):
-            wide = np.pad(peak, [(3, 3) if i == axis else (0, 0) for i in (0, 1)], constant_values=-np.inf)
-            peak = np.max([np.take(wide, np.arange(x.shape[axis]) + k, axis=axis) for k in range(7)], axis=0)
-        top = (response >= peak) & (response > RESPONSE * np.maximum(_strongest_near(response), 1e-9))
+        top = (response >= _greatest_near(response, 3)) & (response > RESPONSE * np.maximum(_strongest_near(response), 1e-9))
         top[:RADIUS], top[-RADIUS:], top[:, :RADIUS], top[:, -RADIUS:] = False, False, False, False
         ys, xs = np.nonzero(top)
         if not len(ys):
@@ -166,6 +173,12 @@ def _keys(words: np.ndarray, table: int) -> np.ndarray:
     return (words[:, table // 2] >> np.uint32(KEY_BITS * (table % 2))).astype(np.int64) & ((1 << KEY_BITS) - 1)
 
 
+def _halves(words: np.ndarray) -> list[np.ndarray]:
+    """The 128 bits of each descriptor as two 64-bit numbers."""
+    words = words.astype(np.uint64)
+    return [words[:, i] << np.uint64(32) | words[:, i + 1] for i in (0, 2)]
+
+
 class Tables:
     """The corners of some queries and where each key's lie in each table."""
 
@@ -173,31 +186,34 @@ class Tables:
         self.corners, self.image = corners, image  # of each corner, the place of its query
         first = np.flatnonzero(np.append(True, image[1:] != image[:-1])) if len(image) else np.zeros(0, np.int64)
         self.nth = np.arange(len(image)) - np.repeat(first, np.diff(first, append=len(image)))
-        self.order, self.bounds = [], []
+        self.order, self.bounds, self.halves = [], [], []
+        halves = _halves(corners["words"])
         for k in range(TABLES):
             keys = _keys(corners["words"], k)
             self.order.append(np.argsort(keys, kind="stable").astype(np.int32))
+            self.halves.append([x[self.order[-1]] for x in halves])  # in the table's order, so a key's lie side by side
             self.bounds.append(np.searchsorted(keys[self.order[-1]], np.arange((1 << KEY_BITS) + 1)).astype(np.int32))
 
     def meet(self, corners: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Pairs of a query's corner and one of ``corners`` that meet in a table and differ in MAX_DISTANCE bits or
         less, each once, and in how many bits."""
         found = [(np.zeros(0, np.int64),) * 3]
+        own = _halves(corners["words"])
         for k in range(TABLES):
             keys = (_keys(corners["words"], k)[:, None] ^ PROBES[None]).ravel()
-            size = self.bounds[k][keys + 1] - self.bounds[k][keys]
+            some = np.flatnonzero(self.bounds[k][keys + 1] > self.bounds[k][keys])
+            start, size = self.bounds[k][keys[some]], self.bounds[k][keys[some] + 1] - self.bounds[k][keys[some]]
+            owner = some // len(PROBES)
             before = np.append(0, np.cumsum(size, dtype=np.int64))
             at = 0
-            while at < len(keys):  # as many keys as have CANDIDATES pairs
+            while at < len(some):  # as many keys as have CANDIDATES pairs
                 stop = max(at + 1, int(np.searchsorted(before, before[at] + CANDIDATES, "right")) - 1)
                 n = size[at:stop]
-                total = int(n.sum())
-                if total:
-                    d = np.repeat(np.arange(at, stop) // len(PROBES), n)
-                    q = self.order[k][np.arange(total) - np.repeat(before[at:stop] - before[at], n) + np.repeat(self.bounds[k][keys[at:stop]], n)]
-                    apart = np.bitwise_count(self.corners["words"][q] ^ corners["words"][d]).sum(1, dtype=np.int64)
-                    near = apart <= MAX_DISTANCE
-                    found.append((q[near].astype(np.int64), d[near], apart[near]))
+                place = np.arange(before[stop] - before[at]) + np.repeat(start[at:stop] - (before[at:stop] - before[at]), n)
+                d = np.repeat(owner[at:stop], n)
+                apart = sum(np.bitwise_count(table[place] ^ mine[d]) for table, mine in zip(self.halves[k], own, strict=True))
+                near = np.flatnonzero(apart <= MAX_DISTANCE)
+                found.append((self.order[k][place[near]].astype(np.int64), d[near], apart[near].astype(np.int64)))
                 at = stop
         q, d, apart = (np.concatenate(x) for x in zip(*found, strict=True))
         _, one = np.unique(q * max(1, len(corners)) + d, return_index=True)

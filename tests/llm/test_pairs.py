@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -306,3 +307,21 @@ def test_small_crops_resized_and_faint_copies_are_found(spark):
         assert sum((100 * k + i, i) in found for i in range(6)) >= 0.9 * 6, k
     assert (906, 6) in found
     assert sum(q % 100 != i and (q % 100, i) not in {(0, 6), (6, 0)} for q, i in found) <= 0.1 * len(found)
+
+
+def test_many_corners_under_one_key_are_compared_in_small_blocks():
+    """4,000 corners of queries against 250 under one key: a million pairs, of which a task holds few at a time."""
+    rng = np.random.default_rng(12)
+    table, asked = np.zeros(4000, images.CORNER), np.zeros(250, images.CORNER)
+    for x in (table, asked):
+        x["words"][:, 1:] = rng.integers(0, 2**32, (len(x), 3), dtype=np.uint32)
+        x["words"][:10, 1:] = 7
+    tables = images.Tables(table, np.arange(len(table)))
+    tracemalloc.start()
+    q, d, apart = tables.meet(asked)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    whole = np.bitwise_count(table["words"][:, None] ^ asked["words"][None]).sum(2, dtype=np.int64)
+    want = np.argwhere(whole <= images.MAX_DISTANCE)
+    assert len(want) == 100 and np.array_equal(np.stack([q, d], 1), want) and np.array_equal(apart, whole[tuple(want.T)])
+    assert peak < 16e6  # 53 MB when as many as 2**20 pairs were held
