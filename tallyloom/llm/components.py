@@ -18,34 +18,49 @@ HELD = 1 << 18
 #: many.  There are at most 2 * HUB_SHARE hubs, so their list is bounded whatever the input.
 HUB = 1024
 HUB_SHARE = 1000
+#: So many links at most (2 MB) are settled on the driver, whatever the input; rounds over few links are all overhead.
+FEW = 1 << 17
 
 
-def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace a task's links by links of each node to the smallest node it reaches there, HELD nodes at a time."""
-    parent: dict[int, int] = {}
+class _Forest:
+    """Nodes with the smallest node that links reach; a node that nothing smaller reaches is left out."""
 
-    def root(x: int) -> int:
-        top = x
+    def __init__(self):
+        self.parent: dict[int, int] = {}
+
+    def root(self, x: int) -> int:
+        parent, top = self.parent, x
         while (up := parent.get(top, top)) != top:
             top = up
         while (up := parent.get(x, x)) != top:
             parent[x], x = top, up
         return top
 
+    def link(self, batch: pa.RecordBatch) -> None:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            a, b = self.root(a), self.root(b)
+            if a != b:
+                self.parent[max(a, b)] = min(a, b)
+
+    def rows(self) -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.fromiter(self.parent, np.int64, len(self.parent))
+        return nodes, np.fromiter((self.root(x) for x in self.parent), np.int64, len(self.parent))
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Replace a task's links by links of each node to the smallest node it reaches there, HELD nodes at a time."""
+    forest = _Forest()
+
     def out() -> Iterator[pa.RecordBatch]:
-        nodes = np.fromiter(parent, np.int64, len(parent))
-        roots = np.fromiter((root(x) for x in parent), np.int64, len(parent))
+        nodes, roots = forest.rows()
         for i in range(0, len(nodes), 100_000):
             yield pa.RecordBatch.from_arrays([pa.array(nodes[i : i + 100_000]), pa.array(roots[i : i + 100_000])], names=["u", "v"])
 
     for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-        if len(parent) > HELD:
+        forest.link(batch)
+        if len(forest.parent) > HELD:
             yield from out()
-            parent.clear()
+            forest.parent.clear()
     yield from out()
 
 
@@ -73,12 +88,20 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component) of every node that has a link to another; the component is its smallest node.
 
     ``links`` has two integer columns; null ends, self-links and repeated links are ignored.  Rows for a component's
-    smallest node are left out: a node that isn't in the result is its own component.  No table but the result stays.
+    smallest node are left out: a node that isn't in the result is its own component.  No table but the result stays.  Up to
+    FEW links are settled on the driver, more of them by rounds over stored tables.
     """
     a, b = links.columns
     edges = links.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b")).filter("a <> b")
     edges = materialise(edges.mapInArrow(_contract, "u long, v long").filter("u <> v").distinct(), "links")
     before, n = None, edges.count()
+    if n <= FEW:
+        forest = _Forest()
+        for batch in edges.toArrow().to_batches():
+            forest.link(batch)
+        discard(edges)
+        nodes, roots = forest.rows()
+        return materialise(links.sparkSession.createDataFrame(pa.table({"node": nodes, "component": roots})), "components")
     for _ in range(MAX_ROUNDS):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = materialise(_with_least(both, F.least(F.min("v"), F.col("u")), 2 * n).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")

@@ -151,6 +151,37 @@ def test_connected_components_of_a_long_chain(spark):
     assert got == {i: 0 for i in range(1, 61)} | {101: 100, 103: 100}
 
 
+def test_few_links_take_no_rounds_and_more_give_the_same(spark, monkeypatch):
+    from tallyloom.llm import components
+
+    rng = random.Random(8)
+    links = [(i, i + 1) for i in range(60)] + [(rng.randrange(200, 400), rng.randrange(200, 400)) for _ in range(150)] + [(None, 3), (-5, 7)]
+    table = spark.createDataFrame(links, "x long, y long").repartition(4)
+    names = []
+    monkeypatch.setattr(components, "materialise", lambda df, name, keep=components.materialise: names.append(name) or keep(df, name))
+    got = {r["node"]: r["component"] for r in connected_components(table).collect()}
+    assert names == ["links", "components"]
+    monkeypatch.setattr(components, "FEW", 10)
+    assert got == {r["node"]: r["component"] for r in connected_components(table).collect()} and len(names) > 6
+    assert got[60] == -5 and all(got.get(a, a) == got.get(b, b) for a, b in links if a is not None)
+    assert connected_components(table.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("hub, share", [(1024, 1000), (3, 1), (1, 1000)])
+def test_hubs_are_dealt_in_rounds(spark, monkeypatch, hub, share):
+    from tallyloom.llm import components
+
+    monkeypatch.setattr(components, "FEW", -1)
+    test_hubs_are_dealt_to_several_tasks(spark, monkeypatch, hub, share)
+
+
+def test_a_long_chain_settles_in_rounds(spark, monkeypatch):
+    from tallyloom.llm import components
+
+    monkeypatch.setattr(components, "FEW", -1)
+    test_connected_components_of_a_long_chain(spark)
+
+
 def test_kernel_words_and_hashes():
     import pyarrow as pa
 
