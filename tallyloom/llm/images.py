@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import bitmaps
+from .components import connected_components
 from .scratch import materialise
 
 #: Scales half an octave apart.
@@ -315,7 +316,7 @@ def _content() -> Column:
 def image_classes(images: DataFrame) -> DataFrame:
     """(image, class): the smallest id of the images equal to each image; images with null pixels have no class.  An id
     of several images has a row for each of their classes."""
-    each = images.filter("pixels IS NOT NULL").select("image", _content().alias("_content")).distinct()
+    each = materialise(images.filter("pixels IS NOT NULL").select("image", _content().alias("_content")).distinct(), "contents")
     least = each.groupBy("_content").agg(F.min("image").alias("class"))
     return each.join(least, "_content").select("image", "class")
 
@@ -395,15 +396,29 @@ def edited(images: DataFrame, crop: int = 14, gain: float = 0.8, lift: float = 2
 def op3_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries: edited copies of the images whose id is divisible by 50; index: every row's image.
 
-    A row (query, image, class, inliers, turn, level_step) for every class of equal images that matches a query, ``image``
-    and ``class`` both its smallest id, or one with null ``image`` for a query without a match; and, with null ``query``, a
-    row (image, class) for every other member of a class.  A query's copies are the members of the classes it matches.
+    One row for each image, so a group of near copies has as many rows as members and not one for each of its links:
+    ``image``; ``class``, the smallest id of the images equal to it (null without pixels; an id of several images has a
+    row for each class); ``component``, the smallest id that links reach, where a link joins a query with a class that its
+    copy matches and a member with its class; ``n_queries``, the queries whose copies match its class.  Null if the
+    image is no query: ``n_found``, the classes that its copy matches; ``itself``, whether its own class is one of them;
+    ``best`` (the class with most inliers), ``inliers``, ``turn`` and ``level_step``.  ``image_copies`` gives the links.
     """
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     # a vector is short but its image takes long to describe: rows are dealt evenly, whatever the files' sizes
     vectors = vectors.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), "vec_id")
     asked = vectors.filter("vec_id % 50 = 0")
     images = recurrence_images(vectors)
-    found = image_copies(edited(recurrence_images(asked)), images)
-    rows = asked.select(F.col("vec_id").alias("query")).distinct().join(found, "query", "left").select("query", "image", F.col("image").alias("class"), "inliers", "turn", "level_step")
-    return rows.unionByName(image_classes(images).filter(F.col("image") != F.col("class")), allowMissingColumns=True)
+    found = materialise(image_copies(edited(recurrence_images(asked)), images), "copies")
+    classes = materialise(image_classes(images), "members")
+    component = connected_components(found.select("query", "image").union(classes.select("image", "class")))
+    met = found.groupBy("image").agg(F.count("*").alias("n_queries")).withColumnRenamed("image", "class")
+    best = F.max(F.struct("inliers", (-F.abs("level_step")).alias("near"), (-F.col("image")).alias("least"), "turn", "level_step")).alias("m")
+    own = asked.select(F.col("vec_id").alias("image")).distinct().join(found.groupBy(F.col("query").alias("image")).agg(F.count("*").alias("n_found"), best), "image", "left")
+    own = own.select("image", F.coalesce("n_found", F.lit(0)).alias("n_found"), (-F.col("m.least")).alias("best"), *[f"m.{c}" for c in ("inliers", "turn", "level_step")])
+    itself = found.select(F.col("query").alias("image"), F.col("image").alias("class"), F.lit(True).alias("_hit"))
+    rows = vectors.select(F.col("vec_id").alias("image")).distinct().join(classes, "image", "left").join(component.withColumnRenamed("node", "image"), "image", "left").join(own, "image", "left")
+    rows = rows.join(itself, ["image", "class"], "left").join(met, "class", "left")
+    return rows.select(
+        "image", "class", F.when(F.col("class").isNotNull(), F.coalesce("component", "image")).alias("component"), F.when(F.col("class").isNotNull(), F.coalesce("n_queries", F.lit(0))).alias("n_queries"),
+        "n_found", F.when(F.col("n_found").isNotNull(), F.coalesce("_hit", F.lit(False))).alias("itself"), "best", "inliers", "turn", "level_step",
+    )
