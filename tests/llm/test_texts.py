@@ -352,3 +352,40 @@ def test_every_context_of_two_words_is_tried(spark):
     got = deep()
     assert got == deep(anchors=1)
     assert min(n for n, _ in got.values()) >= 1
+
+
+def test_words_after_contexts_are_never_stored_together(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + j * j) % 50}" for j in range(200))) for i in range(60)], "doc_id long, text string")
+    stored, keep = [], suffix_lm.materialise
+
+    def count(df, name):
+        table = keep(df, name)
+        stored.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(suffix_lm, "materialise", count)
+    out = suffix_lm.lm_score(docs).collect()
+    assert len(out) == 60 and all(r["n_deep"] > 100 for r in out)
+    # rows were 8,000 and more, one for each document and word; the tree's contexts stay below that
+    assert max(n for _, n in stored) < 4000, stored
+
+
+def test_long_words_after_contexts_have_finite_scores(spark):
+    docs = spark.createDataFrame([(i, "one two three four five " * 3 + ("one two " + "zq" * 900 + str(i) if i < 3 else "")) for i in range(20)], "doc_id long, text string")
+    assert all(math.isfinite(r["score"]) for r in suffix_lm.lm_score(docs).collect())
+
+
+def test_hubs_and_equal_rows_score_like_all_others(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    turns = ["seldom hurried walkers", "quiet rivers bending", "orange kites over", "jam"]
+    rows = [(i, " ".join(rng.choice(turns, int(rng.integers(0, 20))))) for i in range(80)]
+    docs = spark.createDataFrame([*rows, *rows[:10], *rows[:5], (None, "a b a"), (None, "a b a"), (None, None)], "doc_id long, text string").repartition(4)
+    found = lambda: sorted((r["doc_id"] or -1, r["n_deep"], round(r["score"], 6)) for r in suffix_lm.lm_score(docs, training=~suffix_lm.held_out()).collect())
+    want = found()
+    assert sum(n for _, n, _ in want) > 500
+    hubs, seen = suffix_lm.hub_contexts, []
+    monkeypatch.setattr(suffix_lm, "TASK_WORDS", 64)
+    monkeypatch.setattr(suffix_lm, "hub_contexts", lambda *args: seen.append(hubs(*args)) or seen[-1])
+    got = found()
+    assert len(seen[0]) > 3
+    assert [x[:2] for x in got] == [x[:2] for x in want] and np.allclose([x[2] for x in got], [x[2] for x in want], atol=1e-4)
