@@ -76,6 +76,10 @@ SKETCH = [f"k{i}" for i in range(SKETCH_BITS // 64)]
 PAIR_ROWS = 1 << 12
 
 
+#: Bits of a posting's l and size in the number that it is sorted by; the rest is its salt.
+L_BITS, N_BITS = 5, 32
+
+
 LIST_COLUMNS = ["h", "salt", "doc_id", "n", "l", "pivot", "pivot_n", "pivot_l", "met"]
 LIST_TYPES = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()]
 
@@ -222,6 +226,7 @@ def frequencies(summary: DataFrame, most: int = MAX_FREQUENT) -> Frequencies:
         x, n = got["hash"].to_numpy().view(np.uint64), got["n"].to_numpy()
         order = np.argsort(x)
         tables.append((x[order], Frequencies.quarters(n[order] / scale)))
+    discard(counts)
     return Frequencies(*tables, total=int(Frequencies.quarters(n_words)))
 
 
@@ -244,6 +249,16 @@ def prefix(s: np.ndarray, estimate: np.ndarray, percent: int = PERCENT) -> tuple
     return s[order[:size]], frequency[:size].astype(np.int64), best
 
 
+def place(salt: np.ndarray, n: int, m: int) -> np.ndarray:
+    """Salt, size and l of postings as one number each: rows of three numbers are shuffled, not of five."""
+    return (((salt.astype(np.int64) << N_BITS) | n) << L_BITS) | m
+
+
+def unplace(places: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Salt, size and l."""
+    return tuple(x.astype(np.int32) for x in (places >> (N_BITS + L_BITS), (places >> L_BITS) & ((1 << N_BITS) - 1), places & ((1 << L_BITS) - 1)))
+
+
 def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataFrame:
     """Stored posting lists: h, salt, doc_id, n, l, the list's first row as pivot, pivot_n, pivot_l, and met = 0.
 
@@ -253,13 +268,13 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(known)
-    rows = ["h", "salt", "doc_id", "n", "l"]
+    rows = ["h", "doc_id", "place"]
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            h, salt, doc, size = [], [], [], []
+            h, places, doc = [], [], []
             for chunk, hashes, bounds in _words(batch.column(1)):
                 for i, (s, shares) in zip(chunk.rows, K.shingle_sets(hashes, bounds, k, shared.value.word_shares(hashes)), strict=True):
                     if not len(s) or ids[i] is None or (key := _key(s)) in seen:
@@ -268,14 +283,13 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
                     x, frequency, m = prefix(s, shared.value.of(s, shares), percent)
                     salts = frequency // LIST_ROWS
                     h.append(x)
-                    salt.append(np.where(salts > 0, 1 + ids[i] % np.maximum(salts, 1), 0))
-                    doc.append((ids[i], len(s), m, len(x)))
+                    places.append(place(np.where(salts > 0, 1 + ids[i] % np.maximum(salts, 1), 0), len(s), m))
+                    doc.append((ids[i], len(x)))
             if doc:
                 a = np.array(doc, np.int64)
-                cols = [np.concatenate(h).view(np.int64), np.concatenate(salt), *[np.repeat(a[:, j], a[:, 3]) for j in range(3)]]
+                cols = [np.concatenate(h).view(np.int64), np.repeat(a[:, 0], a[:, 1]), np.concatenate(places)]
                 for i in range(0, len(cols[0]), 200_000):
-                    part = [c[i : i + 200_000] for c in cols]
-                    yield _batch(rows, (part[0], pa.int64()), (part[1].astype(np.int32), pa.int32()), (part[2], pa.int64()), (part[3].astype(np.int32), pa.int32()), (part[4].astype(np.int32), pa.int32()))
+                    yield _batch(rows, *[(c[i : i + 200_000], pa.int64()) for c in cols])
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows sorted by shingle and size: split lists where sizes are too far apart to match, leave out those of one.
@@ -309,7 +323,8 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
 
         held = None
         for batch in batches:
-            part = [batch.column(i).to_numpy() for i in range(5)]
+            salt, n, m = unplace(batch.column(2).to_numpy())
+            part = [batch.column(0).to_numpy(), salt, batch.column(1).to_numpy(), n, m]
             if held is not None:
                 part = [np.concatenate(x) for x in zip(held, part, strict=True)]
             h, salt = part[:2]
@@ -322,8 +337,8 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
         if held is not None and len(held[0]):
             yield from split(*held)
 
-    sent = docs.mapInArrow(emit, "h long, salt int, doc_id long, n int, l int")
-    sorted_ = sent.repartition("h", "salt").sortWithinPartitions("h", "salt", "n", "doc_id")
+    sent = docs.mapInArrow(emit, "h long, doc_id long, place long")
+    sorted_ = sent.repartition(F.col("h"), F.shiftright("place", N_BITS + L_BITS)).sortWithinPartitions("h", "place", "doc_id")
     return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int, met long"), "postings")
 
 

@@ -7,6 +7,7 @@ import tracemalloc
 import numpy as np
 import pytest
 
+from tallyloom import storage
 from tallyloom.llm import images, jaccard, kernels
 from tallyloom.llm.components import connected_components
 
@@ -145,6 +146,16 @@ def test_prefix_lemma_holds_for_any_estimates():
             assert met + rest >= -(-75 * (len(a) + len(b)) // 175)
 
 
+def test_postings_are_narrow_and_counts_go_once_read(spark):
+    rng = np.random.default_rng(1)
+    salt, n, m = rng.integers(0, 1 << 22, 1000), int(2**31 - 1), 24
+    assert all((x == y).all() for x, y in zip(jaccard.unplace(jaccard.place(salt, n, m)), (salt, n, m), strict=True))
+    docs = spark.createDataFrame([(i, f"one two three four five six {i % 3}") for i in range(20)], "doc_id long, text string")
+    before = set(storage._written)
+    known = jaccard.frequencies(jaccard.summaries(docs, 5))
+    assert len(known.shingles[0]) and not [p for p in storage._written if p not in before and "frequent" in p]
+
+
 def test_connected_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101), (5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "x long, y long").repartition(4)).collect()}
