@@ -32,12 +32,13 @@ Long posting lists are dealt to several tasks by a salt, and their pairs by bloc
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -140,13 +141,20 @@ def _batch(schema: list[str], *columns) -> pa.RecordBatch:
 
 
 def summaries(docs: DataFrame, k: int) -> DataFrame:
-    """Stored rows of three kinds from (doc_id, text): documents (doc_id, n, key, rep), shingles and words (n, hash).
+    """Stored rows of three kinds from (doc_id, text): documents (doc_id, n, key, rep, and the set's sketch), shingles and
+    words (n, hash).
 
     ``rep`` is the first document of the task with the same set.  Shingles come with their counts over the task's
     distinct sets, where that is two or more, words where they are COMMON of the task's words; the number of all words
     comes as a word with hash null.
     """
-    names = ["kind", "doc_id", "n", "key", "rep", "hash"]
+    names = ["kind", "doc_id", "n", "key", "rep", "hash", *SKETCH]
+
+    def batch_of(kind: int, size: int, n, doc_id=None, key=None, rep=None, hashes=None, drawn=None) -> pa.RecordBatch:
+        none = [None] * size
+        columns = [([kind] * size, pa.int32()), (doc_id, pa.int64()), (n, pa.int64()), (key, pa.binary()), (rep, pa.int64()), (hashes, pa.int64())]
+        columns += [(None if drawn is None else drawn[:, i], pa.int64()) for i in range(len(SKETCH))]
+        return _batch(names, *[(none if c is None else c, kind) for c, kind in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reps: dict[bytes, int] = {}
@@ -154,27 +162,29 @@ def summaries(docs: DataFrame, k: int) -> DataFrame:
         for batch in batches:
             ids = batch.column(0).to_pylist()
             size, keys, first = np.zeros(len(ids), np.int64), [b""] * len(ids), [None] * len(ids)
+            drawn = np.zeros((len(ids), len(SKETCH)), np.int64)
             for chunk, hashes, bounds in _words(batch.column(1)):
                 words.add(hashes)
                 n_words += len(hashes)
-                for i, (s, _) in zip(chunk.rows, K.shingle_sets(hashes, bounds, k), strict=True):
+                sets = [s for s, _ in K.shingle_sets(hashes, bounds, k)]
+                drawn[chunk.rows] = sketch(sets)
+                for i, s in zip(chunk.rows, sets, strict=True):
                     size[i], keys[i] = len(s), _key(s)
                     if len(s) and ids[i] is not None:
                         if keys[i] not in reps:
                             shingles.add(s)
                         first[i] = reps.setdefault(keys[i], ids[i])
-            yield _batch(names, ([0] * len(ids), pa.int32()), (ids, pa.int64()), (size, pa.int64()), (keys, pa.binary()), (first, pa.int64()), ([None] * len(ids), pa.int64()))
+            yield batch_of(0, len(ids), size, ids, keys, first, drawn=drawn)
         shingles.settle()
         words.settle()
         often = words.counts >= n_words * COMMON
         for kind, x, n in ((1, shingles.keys, shingles.counts), (2, words.keys[often], words.counts[often])):
             for i in range(0, len(x), 100_000):
                 part = K.as_long(x[i : i + 100_000])
-                none = [None] * len(part)
-                yield _batch(names, ([kind] * len(part), pa.int32()), (none, pa.int64()), (n[i : i + 100_000], pa.int64()), (none, pa.binary()), (none, pa.int64()), (part, pa.int64()))
-        yield _batch(names, ([2], pa.int32()), ([None], pa.int64()), ([n_words], pa.int64()), ([None], pa.binary()), ([None], pa.int64()), ([None], pa.int64()))
+                yield batch_of(kind, len(part), n[i : i + 100_000], hashes=part)
+        yield batch_of(2, 1, [n_words])
 
-    return materialise(docs.mapInArrow(run, "kind int, doc_id long, n long, key binary, rep long, hash long"), "sets")
+    return materialise(docs.mapInArrow(run, f"kind int, doc_id long, n long, key binary, rep long, hash long, {', '.join(f'{c} long' for c in SKETCH)}"), "sets")
 
 
 @dataclass
@@ -339,7 +349,9 @@ def postings(docs: DataFrame, known: Frequencies, k: int, percent: int) -> DataF
 
     sent = docs.mapInArrow(emit, "h long, doc_id long, place long")
     sorted_ = sent.repartition(F.col("h"), F.shiftright("place", N_BITS + L_BITS)).sortWithinPartitions("h", "place", "doc_id")
-    return materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int, met long"), "postings")
+    out = materialise(sorted_.mapInArrow(lists, "h long, salt int, doc_id long, n int, l int, pivot long, pivot_n int, pivot_l int, met long"), "postings")
+    shared.destroy()
+    return out
 
 
 def _near(a: str, b: str, percent: int):
@@ -356,12 +368,16 @@ def candidates(met: DataFrame, percent: int) -> DataFrame:
     return counted.filter((F.col("met") >= F.least("la", "lb")) & (F.col("met") + rest >= overlap)).drop("na", "nb", "la", "lb")
 
 
-def _of_wanted(docs: DataFrame, wanted: DataFrame, k: int, schema: str, emit: Callable[[list[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], name: str) -> DataFrame:
-    """Stored rows that ``emit`` makes of (doc_id, set) for the documents in ``wanted``, and for a few more, where bits
-    of the map coincide; a task holds 500 sets at most before it sends theirs on."""
+def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> tuple[DataFrame, Broadcast]:
+    """(doc_id, s) of the documents in ``wanted``, and of a few more, where bits of the map coincide; a task holds 500 sets
+    at most before it sends them on.  The rows are not stored; the map that they are made with is to be destroyed."""
     spot = lambda c: F.pmod(F.xxhash64(c), F.lit(MAP_BITS))
     shared = docs.sparkSession.sparkContext.broadcast(bitmaps.build(wanted.select(spot("doc_id").alias("at")), "at", MAP_BITS))
 
+    def emit(part: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+        values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in part]]), pa.int32()), pa.array(np.concatenate([s for _, s in part]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), values], names=["doc_id", "s"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(bitmaps.test(shared.value, batch.column(2).to_numpy())))
@@ -371,23 +387,13 @@ def _of_wanted(docs: DataFrame, wanted: DataFrame, k: int, schema: str, emit: Ca
                 if len(s):
                     part.append((ids[i], s))
                 if len(part) == 500:
-                    yield from emit(part)
+                    yield emit(part)
                     part = []
             if part:
-                yield from emit(part)
+                yield emit(part)
 
     rows = docs.filter("doc_id IS NOT NULL").select("doc_id", "text", spot("doc_id").alias("at"))
-    return materialise(rows.mapInArrow(run, schema), name)
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Stored (doc_id, s)."""
-
-    def emit(part: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        values = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *[len(s) for _, s in part]]), pa.int32()), pa.array(np.concatenate([s for _, s in part]).view(np.int64)))
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), values], names=["doc_id", "s"])
-
-    return _of_wanted(docs, wanted, k, "doc_id long, s array<long>", emit, "whole")
+    return rows.mapInArrow(run, "doc_id long, s array<long>"), shared
 
 
 def sketch(sets: list[np.ndarray]) -> np.ndarray:
@@ -398,15 +404,9 @@ def sketch(sets: list[np.ndarray]) -> np.ndarray:
     return np.packbits(odd.astype(bool).reshape(len(sets), SKETCH_BITS), axis=1).view(np.int64)
 
 
-def sketches(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Stored (doc_id, n, k0, k1, ...): size and sketch of each document's set; an id with several sets has a row for each."""
-    names = ["doc_id", "n", *SKETCH]
-
-    def emit(part: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        words = sketch([s for _, s in part])
-        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in part], pa.int64()), pa.array([len(s) for _, s in part], pa.int32()), *[pa.array(words[:, i]) for i in range(len(SKETCH))]], names=names)
-
-    return _of_wanted(docs, wanted, k, f"doc_id long, n int, {', '.join(f'{c} long' for c in SKETCH)}", emit, "sketches").distinct()
+def sketches(summary: DataFrame) -> DataFrame:
+    """(doc_id, n, k0, k1, ...): size and sketch of each document's set; an id with several sets has a row for each."""
+    return summary.filter("kind = 0 AND n > 0 AND doc_id IS NOT NULL").select("doc_id", F.col("n").cast("int").alias("n"), *SKETCH).distinct()
 
 
 def _may_reach(a: str, b: str, percent: int) -> str:
@@ -415,13 +415,25 @@ def _may_reach(a: str, b: str, percent: int) -> str:
     return f"{apart} <= na + nb - 2 * (({percent} * (na + nb) + {99 + percent}) div {100 + percent})"
 
 
-def verify(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of a stored table whose sets reach the threshold; only documents of pairs get whole sets."""
-    sets = whole_sets(docs, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), k)
-    a, b = sets.select(F.col("doc_id").alias("a"), F.col("s").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("s").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
+def verify(docs: DataFrame, pairs: DataFrame, drawn: DataFrame, k: int, percent: int) -> DataFrame:
+    """The stored pairs (a, b) of a stored table whose sets reach the threshold.
+
+    Sketches are compared first, as they are 64 bytes each: only documents of pairs that they allow get whole sets.  Those
+    are shuffled once for both ends of the pairs (merge joins of the same rows) and stored nowhere else.
+    """
     n = pairs.count()
-    return join_dealt(join_dealt(pairs.select("a", "b"), a, "a", "b", n), b, "b", "a", n).filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both)).select("a", "b").distinct()
+    a, b = (drawn.select(F.col("doc_id").alias(x), *[F.col(c).alias(f"{c}{x}") for c in ("n", *SKETCH)]) for x in "ab")
+    may = join_dealt(join_dealt(pairs.select("a", "b"), a, "a", "b", n), b, "b", "a", n).filter(_may_reach("a", "b", percent))
+    may = materialise(may.select("a", "b").distinct(), "allowed")
+    n = may.count()
+    sets, shared = whole_sets(docs, may.select(F.col("a").alias("doc_id")).union(may.select("b")).distinct(), k)
+    a, b = (sets.select(F.col("doc_id").alias(x), F.col("s").alias(f"s{x}")).hint("merge") for x in "ab")
+    both = F.size(F.array_intersect("sa", "sb"))
+    found = join_dealt(join_dealt(may, a, "a", "b", n), b, "b", "a", n).filter(100 * both >= percent * (F.size("sa") + F.size("sb") - both))
+    found = materialise(found.select("a", "b").distinct(), "links")
+    shared.destroy()
+    discard(may)
+    return found
 
 
 def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -439,6 +451,7 @@ def ngram_jaccard(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", s
 
 def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     summary = summaries(docs, shingle)
+    drawn = sketches(summary)
     rows = summary.filter("kind = 0")
     same = rows.filter("rep IS NOT NULL")
     reps = same.select("key", "rep").distinct()
@@ -456,8 +469,8 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
     pairs = named(two, ["doc_id", "pivot", "n", "pivot_n", "l", "pivot_l", "met"])
     sorted_ends = lambda df, *more: df.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), *[F.when(F.col("a") < F.col("b"), F.col(x)).otherwise(F.col(y)).alias(x) for x, y in (("na", "nb"), ("nb", "na"), ("la", "lb"), ("lb", "la"))], "met", *more)
     stars = materialise(candidates(sorted_ends(first.union(across)).union(pairs), percent), "stars")
-    links = materialise(equal.union(verify(docs, stars, shingle, percent)), "links")
-    known = connected_components(links)
+    links = verify(docs, stars, drawn, shingle, percent)
+    known = connected_components(equal.union(links))
     discard(links)
 
     # documents of different components that meet in a list
@@ -482,13 +495,12 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         heads = longest.groupBy("h").agg(*heads).select("h", F.explode(F.array_compact(F.array(*[f"p{j}" for j in range(PIVOTS)]))).alias("p"))
         met = longest.join(heads, "h").filter("c <> p.c").filter(_near("n", "p.n", percent)).select(F.least("doc_id", "p.doc_id").alias("a"), F.greatest("doc_id", "p.doc_id").alias("b"))
         met = materialise(met.distinct(), "met")
-        more = materialise(verify(docs, met, shingle, percent), "links")
+        more = verify(docs, met, drawn, shingle, percent)
         discard(longest, met)
         if more.isEmpty():
             break
         known = connected_components(known.union(more))
         discard(more)
-    drawn = sketches(docs, placed.select("doc_id").distinct(), shingle)
     blocks = F.expr(f"1 + (rows - 1) div {PAIR_ROWS}")
     sides = placed.select("h", "doc_id", "n", "l", "c", F.sequence(F.lit(0).cast("long"), blocks - 1).alias("every"), F.pmod(F.xxhash64("doc_id"), blocks).alias("own")).join(drawn, ["doc_id", "n"])
     a, b = (sides.select("h", F.col("own").alias(x), F.explode("every").alias(y), *[F.col(c).alias(f"{c}{x}") for c in ("doc_id", "n", "l", "c", *SKETCH)]) for x, y in ("ab", "ba"))
@@ -507,7 +519,7 @@ def _components(docs: DataFrame, shingle: int, percent: int) -> DataFrame:
         tried = materialise(ranked, "pairs")
         if tried.isEmpty():
             break
-        more = materialise(verify(docs, tried, shingle, percent), "links")
+        more = verify(docs, tried, drawn, shingle, percent)
         last, open_ = open_, open_.join(tried, ["a", "b"], "left_anti")
         if not more.isEmpty():
             known = connected_components(known.union(more))

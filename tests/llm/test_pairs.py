@@ -156,6 +156,29 @@ def test_postings_are_narrow_and_counts_go_once_read(spark):
     assert len(known.shingles[0]) and not [p for p in storage._written if p not in before and "frequent" in p]
 
 
+def test_whole_sets_are_made_for_allowed_pairs_only_and_never_stored(spark, monkeypatch):
+    rows = corpus(4)
+    docs = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string").repartition(3)
+    names, wanted, stored, whole = [], [], jaccard.materialise, jaccard.whole_sets
+
+    def whole_sets(docs, of, k):
+        wanted.append(of.count())
+        return whole(docs, of, k)
+
+    monkeypatch.setattr(jaccard, "materialise", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(jaccard, "whole_sets", whole_sets)
+    got = sorted([(r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.ngram_jaccard(docs).collect()], key=str)
+    assert got == brute(rows)
+    assert "allowed" in names and "whole" not in names and "sketches" not in names
+    # two texts with half of their shingles in common are a pair, but neither gets its whole set
+    words = [f"w{i}" for i in range(120)]
+    pair = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[:80] + [f"o{i}" for i in range(40)]))], "doc_id long, text string")
+    drawn = jaccard.sketches(jaccard.summaries(pair, 5))
+    wanted.clear()
+    met = stored(spark.createDataFrame([(1, 2)], "a long, b long"), "met")
+    assert jaccard.verify(pair, met, drawn, 5, 75).collect() == [] and wanted == [0]
+
+
 def test_connected_components_of_a_long_chain(spark):
     links = [(i, i + 1) for i in range(0, 60)] + [(100, 103), (103, 101), (5, 5), (None, 3)]
     got = {r["node"]: r["component"] for r in connected_components(spark.createDataFrame(links, "x long, y long").repartition(4)).collect()}
