@@ -7,6 +7,7 @@ bounded by the longest document and never by the size of an Arrow batch.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -61,6 +62,11 @@ class Chunk:
     def rows(self) -> range:
         return range(self.first, self.first + self.n)
 
+    @cached_property
+    def letters(self) -> np.ndarray:
+        """The bytes that are not white space."""
+        return self.data[~SPACES[self.data]]
+
     def prefix_hash(self) -> np.ndarray:
         n = len(self.data)
         out = np.zeros(n + 1, np.uint64)

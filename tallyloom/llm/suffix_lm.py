@@ -54,6 +54,8 @@ TASK_WORDS = 1 << 21
 PACKED = 1 << 19
 #: Words and grams of a task are sent on when so many distinct ones have gathered.
 FLUSH = 200_000
+#: Words of a task that are counted at once.
+WINDOW = 1 << 21
 END = 10
 
 
@@ -73,7 +75,7 @@ def symbols(chunk: K.Chunk, starts: np.ndarray, ends: np.ndarray, bounds: np.nda
     letters[stop] = False
     letters[bare] = False
     out = np.full(doc_start[-1], END, np.uint8)
-    out[letters] = chunk.data[~K.SPACES[chunk.data]]
+    out[letters] = chunk.letters
     last = np.zeros(len(starts), bool)
     last[bounds[1:][n_words > 0] - 1] = True
     out[stop[~last]] = 32
@@ -84,10 +86,43 @@ def gram_codes(stream: np.ndarray, at: np.ndarray, depth: int = DEPTH) -> np.nda
     """Context and next symbol as one number: the next symbol in the lowest byte, then the nearest one, and so on."""
     code = np.zeros(max(len(stream) - depth, 0), np.int64)
     for d in range(depth, -1, -1):
-        code = (code << 8) | stream[depth - d : len(stream) - d]
+        code <<= 8
+        code |= stream[depth - d : len(stream) - d]
     return code[at - depth]
 
 
+class WordCounts:
+    """Counts of a task's words, taken of WINDOW words at a time by Arrow's hash tables."""
+
+    def __init__(self):
+        self.held, self.room, self.table = [], 0, None
+
+    def add(self, chunk: K.Chunk, starts: np.ndarray, ends: np.ndarray) -> None:
+        offsets = np.append(0, np.cumsum(ends - starts))
+        self.held.append(pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chunk.letters)]))
+        self.room += len(starts)
+        if self.room > WINDOW:
+            self.settle()
+
+    def settle(self) -> int:
+        """Merge what is held; how many distinct words there are now."""
+        if self.held:
+            seen = pa.chunked_array(self.held).value_counts()
+            self.held, self.room = [], 0
+            now = pa.table({"word": seen.field("values"), "n": seen.field("counts")})
+            if self.table is not None:
+                now = pa.concat_tables([self.table, now]).group_by("word", use_threads=False).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["word", "n"])
+            self.table = now
+        return 0 if self.table is None else self.table.num_rows
+
+    def take(self) -> Iterator[tuple[pa.Array, np.ndarray]]:
+        """All words and their counts, which are let go."""
+        self.settle()
+        table, self.table = self.table, None
+        for part in table.combine_chunks().to_batches(100_000) if table is not None else []:
+            yield part.column(0), part.column(1).to_numpy()
+
+
 def corpus_counts(training: DataFrame, text: str = "text", depth: int = DEPTH) -> DataFrame:
     """Stored rows (kind, word, hash, code, n): 0 words and their counts, 1 grams, 2 the number of documents."""
     names = ["kind", "word", "hash", "code", "n"]
@@ -96,22 +131,20 @@ def corpus_counts(training: DataFrame, text: str = "text", depth: int = DEPTH) -
         none = pa.nulls(len(n), pa.int64())
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(n), kind, np.int32)), pa.nulls(len(n), pa.binary()) if word is None else word, none if hashes is None else hashes, none if code is None else pa.array(code), pa.array(n, pa.int64())], names=names)
 
-    def words_out(words: Counter) -> Iterator[pa.RecordBatch]:
-        keys, counts = list(words), np.fromiter(words.values(), np.int64, len(words))
-        for i in range(0, len(keys), 100_000):
-            column = pa.array(keys[i : i + 100_000], pa.binary())
+    def words_out(words: WordCounts) -> Iterator[pa.RecordBatch]:
+        for column, counts in words.take():
             hashes = []
-            for chunk in K.chunks(column.cast(pa.large_binary())):
+            for chunk in K.chunks(column):
                 hashes.append(chunk.span_hash(chunk.prefix_hash(), chunk.offsets[:-1], chunk.offsets[1:]))
-            yield rows(0, counts[i : i + 100_000], column, pa.array(np.concatenate(hashes).view(np.int64)))
+            yield rows(0, counts, column.cast(pa.binary()), pa.array(np.concatenate(hashes).view(np.int64)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
+        words = WordCounts()
         codes, counts, held, docs = np.zeros(0, np.int64), np.zeros(0, np.int64), [], 0
 
         def merge() -> tuple[np.ndarray, np.ndarray]:
             x, n = np.concatenate([codes, *[a for a, _ in held]]), np.concatenate([counts, *[b for _, b in held]])
-            order = np.argsort(x, kind="stable")
+            order = np.argsort(x)
             x, n = x[order], n[order]
             at = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
             return x[at], np.add.reduceat(n, at) if len(at) else n
@@ -119,8 +152,8 @@ def corpus_counts(training: DataFrame, text: str = "text", depth: int = DEPTH) -
         for batch in batches:
             docs += batch.num_rows
             for chunk in K.chunks(batch.column(0), lower=True):
-                words.update(chunk.data.tobytes().split() if chunk.n == 1 else [w for a, b in zip(chunk.offsets[:-1].tolist(), chunk.offsets[1:].tolist(), strict=True) for w in chunk.data[a:b].tobytes().split()])
                 starts, ends, bounds = chunk.spans(K.SPACES)
+                words.add(chunk, starts, ends)
                 stream, at, _, _ = symbols(chunk, starts, ends, bounds, depth)
                 x = np.sort(gram_codes(stream, at, depth))
                 first = np.flatnonzero(np.append(True, x[1:] != x[:-1]))
@@ -131,9 +164,8 @@ def corpus_counts(training: DataFrame, text: str = "text", depth: int = DEPTH) -
                     if len(codes) > 10 * FLUSH:
                         yield rows(1, counts, code=codes)
                         codes, counts = codes[:0], counts[:0]
-                if len(words) > FLUSH:
+                if words.table is not None and words.table.num_rows > FLUSH:
                     yield from words_out(words)
-                    words.clear()
         codes, counts = merge()
         for i in range(0, len(codes), 100_000):
             yield rows(1, counts[i : i + 100_000], code=codes[i : i + 100_000])

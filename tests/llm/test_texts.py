@@ -370,6 +370,29 @@ def test_words_after_contexts_are_never_stored_together(spark, monkeypatch):
     assert max(n for _, n in stored) < 9000, stored
 
 
+@pytest.mark.parametrize("window, flush", [(1, 3), (40, 10), (1 << 20, 200_000)])
+def test_words_are_counted_by_windows(monkeypatch, window, flush):
+    import pyarrow as pa
+
+    from tallyloom.llm import kernels
+
+    monkeypatch.setattr(suffix_lm, "WINDOW", window)
+    rows = [None, "", "a b\ta", " \x0b\n", "é A\u00a0b z" * 9, "z" * 300, "a", "b a \r c"]
+    words, got = suffix_lm.WordCounts(), Counter()
+    for i in range(0, len(rows), 3):
+        for chunk in kernels.chunks(pa.array(rows[i : i + 3], pa.string()), lower=True):
+            starts, ends, _ = chunk.spans(kernels.SPACES)
+            words.add(chunk, starts, ends)
+        if words.table is not None and words.table.num_rows > flush:
+            for column, n in words.take():
+                got.update(dict(zip(column.to_pylist(), n.tolist(), strict=True)))
+            assert words.table is None
+    for column, n in words.take():
+        got.update(dict(zip(column.to_pylist(), n.tolist(), strict=True)))
+    assert got == Counter(w for t in rows for w in (t or "").replace("A", "a").encode().split())
+    assert list(words.take()) == []
+
+
 def test_long_words_after_contexts_have_finite_scores(spark):
     rows = [(i, " ".join(f"k{i % 30 + j}tail k{i % 30 + j}tail v{(i % 30 + j) ** 2}" for j in range(5))) for i in range(1, 121)]
     docs = spark.createDataFrame([(0, "k7tail k7tail " + "#" * 3000), *rows], "doc_id long, text string")
